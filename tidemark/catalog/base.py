@@ -46,12 +46,20 @@ ORDER = ["seen_at", "obs_id"]
 
 
 def r6(column, name: str | None = None):
-    """Rounded to six decimals, as every computed double in a registered query."""
+    """Rounded to six decimals, as every computed double in a registered query.
+
+    Prices are decimal fractions, so means often fall exactly between two
+    sixth decimals; the small shift keeps summation order from deciding them.
+    """
     column = F.col(column) if isinstance(column, str) else column
-    out = F.round(column.cast("double"), 6) + F.lit(0.0)
+    out = F.round(column.cast("double") + F.lit(1.3e-8), 6) + F.lit(0.0)
     return out.alias(name) if name else out
 
 
+def r6_sql(expression: str, name: str) -> str:
+    return f"round(CAST({expression} AS DOUBLE) + 1.3e-8::DOUBLE, 6) + 0.0::DOUBLE AS {name}"
+
+
 def rounded(df: DataFrame, *doubles: str) -> DataFrame:
     return df.withColumns({c: r6(c) for c in doubles})
 

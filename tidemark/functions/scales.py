@@ -44,7 +44,9 @@ def array_std(values: Column, ddof: int = 1) -> Column:
     n = F.size(values)
     squares = let(array_mean(values), lambda mean: _square_sum(values, mean))
     spread = F.sqrt(squares / F.greatest(n - ddof, F.lit(1)))
-    return F.when(n > ddof, spread).when(n > 0, 0.0)
+    # Equal prices have no spread, whatever the rounding of their mean.
+    varied = F.array_min(values) < F.array_max(values)
+    return F.when((n > ddof) & varied, spread).when(n > 0, 0.0)
 
 
 def sd_scale(values: Column) -> Column:

@@ -49,8 +49,8 @@ class Baseline:
     def mean_std(self) -> tuple[float, float]:
         def compute(p):
             mean = math.fsum(p) / len(p)
-            if len(p) == 1:
-                return mean, 0.0
+            if min(p) == max(p):
+                return p[0], 0.0
             return mean, math.sqrt(math.fsum([(x - mean) * (x - mean) for x in p]) / (len(p) - 1))
         return self._once("mean_std", compute)
 

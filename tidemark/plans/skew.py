@@ -77,16 +77,26 @@ def smallest_by_hash(
     return ranked.filter(F.col(rank_name) <= limit)
 
 
+def oversized(df: DataFrame, by: Sequence[str], limit: int) -> bool:
+    """Whether any group has more than ``limit`` rows."""
+    return not df.groupBy(*by).count().filter(F.col("count") > limit).isEmpty()
+
+
 def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float], accuracy: int = 200
+    df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float],
+    accuracy: int = 200, slice_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Linear-interpolated percentiles per group, exact and free of large buffers.
 
-    Three passes: rough cut points from the mergeable ``percentile_approx``
-    sketch, counts per slice between cut points, and a ranking of only those
-    slices that hold a wanted rank.
+    Where all groups are small the built-in aggregate does it. Otherwise three
+    passes: rough cut points from the mergeable ``percentile_approx`` sketch,
+    counts per slice between cut points, and a ranking of only those slices
+    that hold a wanted rank.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    if not oversized(rows, by, slice_rows):
+        return rows.groupBy(*by).agg(*[F.percentile("_v", F.lit(float(p))).alias(k) for k, p in fractions.items()])
+    rows = persist_table(rows, "percentile-input")
     steps = [i / accuracy for i in range(1, accuracy)]
     cuts = rows.groupBy(*by).agg(
         F.array_distinct(F.percentile_approx("_v", steps, accuracy * 20)).alias("_cuts"),
