@@ -416,7 +416,7 @@ def tolerance_match(spark, d):
     )
 
 
-@query("timestamp_parsing", """SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL
+@query("timestamp_parsing", """SELECT event_id, CASE event_id % 3 WHEN 2 THEN -1
   ELSE epoch_us(date_trunc('second', ts)) END AS parsed_us FROM events""")
 def timestamp_parsing(spark, d):
     ev = table(spark, d, "events")
@@ -424,7 +424,7 @@ def timestamp_parsing(spark, d):
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(iso, F.lit("Z"))).when(
         F.col("event_id") % 3 == 1, F.concat(iso, F.lit("+00:00"))
     ).otherwise(F.concat(F.lit("on "), iso))
-    return ev.select("event_id", F.unix_micros(S.parse_instant(raw)).alias("parsed_us"))
+    return ev.select("event_id", F.coalesce(F.unix_micros(S.parse_instant(raw)), F.lit(-1)).alias("parsed_us"))
 
 
 SCALE_SQL = {
