@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ ANONYMOUS_CURRENCY = {
 }
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``, also inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def literal_map(mapping: dict) -> Column:
     return F.create_map(*[F.lit(v) for kv in mapping.items() for v in kv])
 
@@ -48,7 +55,9 @@ def normalized_score(value: Column, threshold: float, cap_multiple: float = 2.0)
     """min(value / (2 * threshold), 1); a threshold <= 0 gives .5 for positive values, else 0."""
     if threshold <= 0:
         return F.when(value > 0, 0.5).otherwise(0.0)
-    return F.least(value / F.lit(threshold * cap_multiple), F.lit(1.0))
+    top = F.lit(threshold * cap_multiple)
+    # Not least(): it would turn a missing value into 1.
+    return F.when(value >= top, 1.0).otherwise(value / top)
 
 
 def severity_by_deviation(value: Column, threshold: float) -> Column:
@@ -75,7 +84,7 @@ def severity_rank(severity: Column) -> Column:
 
 
 def severity_name(rank: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.nullif(rank, F.lit(0)))
+    return F.get(F.array(*[F.lit(s) for s in SEVERITIES]), rank - 1)
 
 
 def top_severity(*severities: Column) -> Column:

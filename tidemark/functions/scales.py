@@ -11,12 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import MAD_NORMAL
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``, also inside a lambda."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from tidemark.functions.scalar import MAD_NORMAL, let
 
 
 def _middle(ordered: Column) -> Column:

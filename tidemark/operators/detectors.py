@@ -66,26 +66,31 @@ def modified_zscore(
 ) -> Column:
     """mad, sn, weighted, max or mean; a zero scale is degenerate and never flags."""
     h = F.col(history)
-    value = F.coalesce(F.col(price), F.lit(0.0))
-    if mode == "mad":
-        z = F.abs(scales.mad_z(h, value))
-    elif mode == "sn":
-        z = F.abs(scales.sn_z(h, value))
-    else:
-        mad, sn = F.abs(scales.mad_z(h, value)), F.abs(scales.sn_z(h, value))
-        both = mad.isNotNull() & sn.isNotNull()
-        z = F.when(both, {
-            "weighted": F.lit(weight) * mad + F.lit(1.0 - weight) * sn,
-            "max": F.greatest(mad, sn),
-            "mean": F.lit(0.5) * (mad + sn),
-        }[mode])
     ready = F.size(h) >= S.MIN_OBSERVATIONS
-    z = F.when(ready, z)
-    flagged = z > threshold
-    return outcome(
-        flagged, S.normalized_score(z, threshold), S.severity_by_deviation(z, threshold),
-        _one_type(flagged, "price_zscore"), ~ready,
-    )
+    gap = F.abs(F.coalesce(F.col(price), F.lit(0.0)) - scales.array_median(h))
+    mad = scales.mad_scale(h) if mode != "sn" else F.lit(None).cast("double")
+    sn = scales.sn_scale(h) if mode != "mad" else F.lit(None).cast("double")
+
+    def combine(part: Column) -> Column:
+        by_mad = F.when(part["mad"] > 0, part["gap"] / part["mad"])
+        by_sn = F.when(part["sn"] > 0, part["gap"] / part["sn"])
+        if mode == "mad":
+            return by_mad
+        if mode == "sn":
+            return by_sn
+        if mode == "weighted":
+            return F.lit(weight) * by_mad + F.lit(1.0 - weight) * by_sn
+        if mode == "max":
+            return F.when(by_mad.isNotNull() & by_sn.isNotNull(), F.greatest(by_mad, by_sn))
+        return F.lit(0.5) * (by_mad + by_sn)
+
+    parts = F.struct(gap.alias("gap"), mad.alias("mad"), sn.alias("sn"))
+    # The scales are costly, so each is bound once per row.
+    z = F.when(ready, S.let(parts, combine))
+    return S.let(z, lambda z: outcome(
+        z > threshold, S.normalized_score(z, threshold), S.severity_by_deviation(z, threshold),
+        _one_type(z > threshold, "price_zscore"), ~ready,
+    ))
 
 
 def iqr(multiplier: float = DEFAULTS["iqr"], history: str = "history", price: str = "price") -> Column:
@@ -93,24 +98,27 @@ def iqr(multiplier: float = DEFAULTS["iqr"], history: str = "history", price: st
     h = F.col(history)
     value = F.coalesce(F.col(price), F.lit(0.0))
     n = F.size(h)
-    ordered = F.array_sort(h)
-    q1 = F.try_element_at(ordered, F.floor(n / 4).cast("int") + 1)
-    q3 = F.try_element_at(ordered, F.floor(n * 3 / 4).cast("int") + 1)
-    spread = q3 - q1
-    below = (q1 - F.lit(multiplier) * spread) - value
-    above = value - (q3 + F.lit(multiplier) * spread)
     ready = n >= 4
-    distance = F.when(ready & (below > 0), below).when(ready & (above > 0), above)
-    flagged = distance.isNotNull()
-    score = F.when(
-        flagged, F.when(spread > 0, F.least(distance / (spread * 2.0), F.lit(1.0))).otherwise(0.5)
-    )
-    rel = distance / F.nullif(spread, F.lit(0.0))
-    severity = F.when(
-        flagged & (spread > 0),
-        F.when(rel > 3, "critical").when(rel > 2, "high").otherwise("medium"),
-    )
-    return outcome(flagged, score, severity, _one_type(flagged, "price_iqr"), ~ready)
+
+    def judge(ordered: Column) -> Column:
+        q1 = F.try_element_at(ordered, F.floor(n / 4).cast("int") + 1)
+        q3 = F.try_element_at(ordered, F.floor(n * 3 / 4).cast("int") + 1)
+        spread = q3 - q1
+        below = (q1 - F.lit(multiplier) * spread) - value
+        above = value - (q3 + F.lit(multiplier) * spread)
+        distance = F.when(ready & (below > 0), below).when(ready & (above > 0), above)
+        flagged = distance.isNotNull()
+        score = F.when(
+            flagged, F.when(spread > 0, F.least(distance / (spread * 2.0), F.lit(1.0))).otherwise(0.5)
+        )
+        rel = distance / F.nullif(spread, F.lit(0.0))
+        severity = F.when(
+            flagged & (spread > 0),
+            F.when(rel > 3, "critical").when(rel > 2, "high").otherwise("medium"),
+        )
+        return outcome(flagged, score, severity, _one_type(flagged, "price_iqr"), ~ready)
+
+    return S.let(F.array_sort(h), judge)
 
 
 def price_change(threshold: float = DEFAULTS["change"]) -> Column:

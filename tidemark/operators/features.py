@@ -97,7 +97,7 @@ def baseline_statistics(df: DataFrame, history: str = "history") -> DataFrame:
             high = F.try_element_at(ordered, (F.ceil(pos) + 1).cast("int"))
             return low + (high - low) * (pos - F.floor(pos))
 
-        return F.when(F.size(h) > 0, scales.let(F.array_sort(h), pick))
+        return F.when(F.size(h) > 0, S.let(F.array_sort(h), pick))
 
     return df.withColumns({
         "observation_count": F.size(h).cast("long"),

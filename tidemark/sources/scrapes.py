@@ -38,24 +38,42 @@ LINE = T.StructType([
 ])
 
 
-def _price_fields(raw: Column, currency: Column, list_price: Column) -> dict[str, Column]:
+def _is_object(raw: Column) -> Column:
+    return F.coalesce(F.startswith(F.ltrim(raw), F.lit("{")), F.lit(False))
+
+
+def _nested_prices(frame: DataFrame, raws: dict[str, Column]) -> DataFrame:
+    """For each raw price, ``<name>_object`` {currency, current} and ``<name>_values``.
+
+    Each JSON text is parsed once: the one-row explodes keep later filters
+    from repeating the parse inside their condition.
+    """
+    objects = F.struct(*[
+        F.when(_is_object(raw), F.from_json(raw, "currency STRING, current STRING")).alias(n)
+        for n, raw in raws.items()
+    ])
+    frame = frame.withColumn("_o", F.explode(F.array(objects)))
+    values = F.struct(*[F.from_json(F.col("_o")[n]["current"], "ARRAY<STRING>").alias(n) for n in raws])
+    return frame.withColumn("_v", F.explode(F.array(values)))
+
+
+def _price_fields(name: str, raw: Column, currency: Column, list_price: Column) -> Column:
     """Price, currency and list price from a flat value or a {currency, current} object.
 
     Of ``current`` the second value is the price when present, else the first;
-    the first is the list price.
+    the first is the list price. ``current`` may also be a bare number.
     """
-    nested = F.startswith(F.ltrim(raw), F.lit("{"))
-    listed = F.get_json_object(raw, "$.current")
-    is_list = F.startswith(F.ltrim(listed), F.lit("["))
-    first = F.get_json_object(raw, "$.current[0]")
-    second = F.get_json_object(raw, "$.current[1]")
-    price = F.when(nested, F.when(is_list, F.coalesce(second, first)).otherwise(listed)).otherwise(raw)
-    base = F.when(nested & is_list, first).otherwise(list_price)
-    return {
-        "price": price.try_cast("double"),
-        "currency": F.coalesce(F.when(nested, F.get_json_object(raw, "$.currency")), currency),
-        "list_price": base.try_cast("double"),
-    }
+    item, values = F.col("_o")[name], F.col("_v")[name]
+    nested = item.isNotNull()
+    is_list = nested & values.isNotNull()
+    price = F.when(is_list, F.coalesce(F.get(values, 1), F.get(values, 0))).when(
+        nested, item["current"]
+    ).otherwise(raw)
+    return F.struct(
+        price.try_cast("double").alias("price"),
+        F.coalesce(item["currency"], currency).alias("currency"),
+        F.when(is_list, F.get(values, 0)).otherwise(list_price).try_cast("double").alias("list_price"),
+    )
 
 
 def _either(first: Column, second: Column) -> Column:
@@ -69,20 +87,20 @@ def parse_scrapes(lines: DataFrame, column: str = "value", run: str | None = Non
     of missing fields.
     """
     text = F.trim(column)
-    parsed = lines.filter(text != "").withColumn(
-        "_j", F.from_json(text, LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
-    )
+    record = F.from_json(text, LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    # The one-row explode keeps later filters from repeating the parse inside their condition.
+    parsed = lines.filter(text != "").withColumn("_j", F.explode(F.array(record)))
     j = F.col("_j")
-    usual = _price_fields(j["pricing"]["price"], j["pricing"]["currency"], j["pricing"]["list_price"])
+    nothing = F.lit(None).cast("string")
     api_raw = j["api_product"]["price"]
-    spare = _price_fields(
-        F.when(F.startswith(F.ltrim(api_raw), F.lit("{")), api_raw),
-        F.lit(None).cast("string"), F.lit(None).cast("string"),
-    )
-    use_spare = usual["price"].isNull() & F.startswith(F.ltrim(api_raw), F.lit("{"))
+    parsed = _nested_prices(parsed, {"usual": j["pricing"]["price"], "spare": api_raw})
+    usual = _price_fields("usual", j["pricing"]["price"], j["pricing"]["currency"], j["pricing"]["list_price"])
+    spare = _price_fields("spare", nothing, nothing, nothing)
+    chosen = F.when(usual["price"].isNull() & _is_object(api_raw), spare).otherwise(usual)
+    parsed = parsed.withColumn("_p", F.explode(F.array(chosen)))
 
     def pick(name: str) -> Column:
-        return F.when(F.coalesce(use_spare, F.lit(False)), spare[name]).otherwise(usual[name])
+        return F.col("_p")[name]
 
     broken = j["_broken"].isNotNull() | j.isNull()
     out = parsed.select(
