@@ -243,3 +243,40 @@ def over_series(
 
 def salted_count(rows: int, per_task: int = CHUNK_ROWS) -> int:
     return max(1, math.ceil(rows / per_task))
+
+
+def hash_cut(df: DataFrame, by: Sequence[str], u: str, ident: str, limits: DataFrame) -> DataFrame:
+    """Per group, the (``u``, ``ident``) of the row at rank ``_limit``: columns _cut_u, _cut_id.
+
+    ``limits`` holds ``by`` and ``_limit``. A histogram of the hash finds the
+    bucket of that rank; only this bucket (1/1024 of a group) is sorted. Rows
+    up to the cut are the ``_limit`` smallest, with no shuffle of the others.
+    """
+    by = list(by)
+    tagged = df.select(*by, u, ident).withColumn("_bucket", F.floor(F.col(u) * HASH_BUCKETS).cast("long"))
+    sizes = tagged.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    targets = join_small(sizes, limits, by).filter(
+        (F.col("_before") < F.col("_limit")) & (F.col("_limit") <= F.col("_before") + F.col("_rows"))
+    ).select(*by, "_bucket", (F.col("_limit") - F.col("_before")).alias("_nth"))
+    near = tagged.join(_null_safe(targets, [*by, "_bucket"]), _match(tagged, [*by, "_bucket"]))
+    within = Window.partitionBy(*by, "_bucket").orderBy(u, ident)
+    return near.withColumn("_at", F.row_number().over(within)).filter(F.col("_at") == F.col("_nth")).select(
+        *by, F.col(u).alias("_cut_u"), F.col(ident).alias("_cut_id")
+    )
+
+
+def join_small(df: DataFrame, small: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a one-row-per-group table; without groups it is a single row and is broadcast."""
+    if not by:
+        return df.join(F.broadcast(small), how=how) if how == "inner" else df.join(
+            F.broadcast(small), F.lit(True), how
+        )
+    return df.join(small, list(by), how)
+
+
+def up_to_cut(u: str, ident: str) -> Column:
+    """Whether a row is at or before the cut joined from ``hash_cut``; false without a cut."""
+    inside = (F.col(u) < F.col("_cut_u")) | ((F.col(u) == F.col("_cut_u")) & (F.col(ident) <= F.col("_cut_id")))
+    return F.coalesce(inside, F.lit(False))
