@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ship_package
+from tidemark.session import scratch_path, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +42,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Query) -> DataFrame:
+    """A derived table written once per session to the shared folder, then read from there.
+
+    Injection and scoring are written once and evaluated many times, as a user
+    of the library would do; a missing table is built again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _stored:
+        try:
+            return spark.read.parquet(_stored[key])
+        except AnalysisException:
+            del _stored[key]
+    path = scratch_path(spark, name)
+    build(spark, sf_dir).write.parquet(path)
+    _stored[key] = path
+    return spark.read.parquet(path)
+
+
 SERIES = ["product_id", "competitor_id"]
 ORDER = ["seen_at", "obs_id"]
 

@@ -124,7 +124,7 @@ def apply_types(df: DataFrame, seed: int | Column, ident: str, **options) -> Dat
 
 
 def inject(
-    df: DataFrame, by: Sequence[str] = (), rate: float = 0.1, seed: int = 42,
+    df: DataFrame, by: Sequence[str] = (), rate: float = 0.1, seed: int | Column = 42,
     types: Sequence[str] = tuple(DEFAULT_TYPES), ident: str = "obs_id",
     spike: tuple[float, float] = (2.0, 5.0), drop: tuple[float, float] = (0.1, 0.5),
 ) -> DataFrame:
@@ -133,6 +133,7 @@ def inject(
     Phase 1 gives list-price violations their 1/k share among rows with a list
     price; phase 2 picks among the rest and draws the other types evenly. Both
     choices are hash cuts: two small histograms instead of a shuffle of rows.
+    ``seed`` may be a column of ``by``, for several trials at once.
     """
     by, types = list(by), list(types)
     valid = F.coalesce(F.col("price") > 0, F.lit(False))

@@ -124,12 +124,15 @@ def sweep_histogram(
     One pass over the rows answers every threshold, and the result is small,
     so scopes and history levels can be expanded after it.
     """
-    entries = []
-    for name, (score, thresholds) in families.items():
+
+    def passed(score: str | Column, thresholds: Sequence[float]) -> Column:
         value = F.coalesce(F.col(score) if isinstance(score, str) else score, F.lit(float("-inf")))
-        ordered = F.array(*[F.lit(float(t)) for t in sorted(thresholds)])
-        passed = F.size(F.filter(ordered, lambda t, v=value: t < v))
-        entries.append(F.struct(F.lit(name).alias("family"), passed.alias("passed")))
+        return F.size(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t < value))
+
+    entries = [
+        F.struct(F.lit(name).alias("family"), passed(score, thresholds).alias("passed"))
+        for name, (score, thresholds) in families.items()
+    ]
     t = F.coalesce(F.col(truth), F.lit(False))
     rows = df.select(*by, t.alias("_t"), F.explode(F.array(*entries)).alias("_e"))
     return rows.groupBy(*by, "_e.family", "_e.passed").agg(
