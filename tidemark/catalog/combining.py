@@ -174,7 +174,7 @@ def greedy_order_by_f1(spark, d):
     return rounded(C.greedy_by_f1(spark, patterns(spark, d), DETECTORS), "cumulative_f1", "marginal_gain")
 
 
-@query("greedy_order_by_catches", with_sql(*SCORED, """pos AS (SELECT * FROM scored WHERE truth), tot AS (SELECT count(*) AS total FROM pos),
+@query("greedy_order_by_catches", with_sql(*SCORED, """pos AS (SELECT * FROM scored WHERE truth), alltrue AS (SELECT count(*) AS total FROM pos),
 s1 AS (SELECT detector AS d1, count(*) AS c FROM preds WHERE truth AND predicted GROUP BY detector ORDER BY c DESC, detector LIMIT 1),
 l1 AS (SELECT p.obs_id FROM pos p WHERE p.obs_id NOT IN (SELECT obs_id FROM preds, s1 WHERE predicted AND detector = d1)),
 s2 AS (SELECT detector AS d2, count(*) AS c FROM preds WHERE predicted AND obs_id IN (SELECT obs_id FROM l1) GROUP BY detector ORDER BY c DESC, detector LIMIT 1),
@@ -183,7 +183,7 @@ s3 AS (SELECT detector AS d3, count(*) AS c FROM preds WHERE predicted AND obs_i
 l3 AS (SELECT obs_id FROM l2 WHERE obs_id NOT IN (SELECT obs_id FROM preds, s3 WHERE predicted AND detector = d3)),
 s4 AS (SELECT detector AS d4, count(*) AS c FROM preds WHERE predicted AND obs_id IN (SELECT obs_id FROM l3) GROUP BY detector ORDER BY c DESC, detector LIMIT 1),
 al AS (SELECT 1 AS position, d1 AS detector, c FROM s1 UNION ALL SELECT 2, d2, c FROM s2 UNION ALL SELECT 3, d3, c FROM s3 UNION ALL SELECT 4, d4, c FROM s4)""",
-    body=f"SELECT position, detector, c AS new_catches, {r6_sql('sum(c) OVER (ORDER BY position) / total', 'cumulative_recall')} FROM al, tot"))
+    body=f"SELECT position, detector, c AS new_catches, {r6_sql('sum(c) OVER (ORDER BY position) / total', 'cumulative_recall')} FROM al, alltrue"))
 def greedy_order_by_catches(spark, d):
     return rounded(C.greedy_by_catches(spark, patterns(spark, d), DETECTORS), "cumulative_recall")
 
@@ -291,11 +291,11 @@ def learned_classifier(spark, d):
 AGREE = f"""ag0 AS (SELECT product_id AS ean, competitor_id, price, lag(price) OVER (PARTITION BY product_id, competitor_id ORDER BY seen_at, obs_id) AS prev,
   row_number() OVER (PARTITION BY product_id, competitor_id ORDER BY seen_at DESC, obs_id DESC) AS back FROM obs WHERE price > 0),
 ag AS (SELECT ean, competitor_id, (price - prev) / prev AS c FROM ag0 WHERE back = 1 AND prev IS NOT NULL),
-aj AS (SELECT a.ean, a.competitor_id, b.competitor_id AS other, a.c * b.c > 0 AND least(abs(a.c), abs(b.c)) / greatest(abs(a.c), abs(b.c), 0.001) > 0.5000000001 AS similar
+aj AS (SELECT a.ean, a.competitor_id, b.competitor_id AS other, a.c * b.c > 0 AND least(abs(a.c), abs(b.c)) / greatest(abs(a.c), abs(b.c), 0.001) > 0.5000000001 AS alike
   FROM ag a LEFT JOIN ag b ON a.ean = b.ean AND a.competitor_id <> b.competitor_id)"""
 
 
-@query("cross_competitor_agreement", with_sql(OBS, AGREE, body=f"""SELECT ean, competitor_id, {r6_sql('count(*) FILTER (similar) / nullif(count(other), 0)', 'agreement')}
+@query("cross_competitor_agreement", with_sql(OBS, AGREE, body=f"""SELECT ean, competitor_id, {r6_sql('count(*) FILTER (alike) / nullif(count(other), 0)', 'agreement')}
   FROM aj GROUP BY ean, competitor_id"""))
 def cross_competitor_agreement(spark, d):
     from tidemark.operators.features import micros, with_previous

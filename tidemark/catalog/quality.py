@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import OBS, query, r6, r6_sql, rounded, table, with_sql
+from tidemark.catalog.base import OBS, query, r6_sql, rounded, stored, table, with_sql
 from tidemark.catalog.intake import PARSED, raw_lines
 from tidemark.operators import features as X
 from tidemark.operators import quality as Q
@@ -33,7 +33,8 @@ _STATS = ["parse_error_rate", "missing_price_rate", "missing_title_rate", "missi
 
 
 def metrics_by_run(spark, d):
-    return Q.run_metrics(J.parse_scrapes(raw_lines(spark, d)), ["run_id"])
+    parsed = stored(spark, d, "parsed_scrapes", lambda s, p: J.parse_scrapes(raw_lines(s, p)).drop("raw_data"))
+    return Q.run_metrics(parsed, ["run_id"])
 
 
 def drifted_runs(spark, d):

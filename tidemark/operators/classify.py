@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.skew import join_small
@@ -77,10 +77,15 @@ def cross_competitor_agreement(
     sellers = changes.groupBy(product).agg(F.count(F.lit(1)).alias("_sellers"))
     size = F.abs(F.col(change))
     live = size > 0.0005
-    near = 1 - 1e-12
-    w = Window.partitionBy(product, F.signum(change), live).orderBy(F.log2(size)).rangeBetween(-near, near)
-    similar = F.when(live, F.count(F.lit(1)).over(w) - 1).otherwise(0)
-    out = join_small(changes.withColumn("_similar", similar), sellers, [product])
+    # Just under one octave either way: half the size itself does not agree.
+    counted = changes.withColumns({"_size": size, "_sign": F.signum(change), "_live": live})
+    similar = F.expr(
+        f"count(1) OVER (PARTITION BY {product}, _sign, _live ORDER BY log2(_size)"
+        " RANGE BETWEEN 0.999999999D PRECEDING AND 0.999999999D FOLLOWING)"
+    )
+    changes = counted.withColumn("_found", F.when(F.col("_live"), similar - 1).otherwise(0))
+    changes = changes.drop("_size", "_sign", "_live").withColumnRenamed("_found", "_similar")
+    out = join_small(changes, sellers, [product])
     return out.withColumn(
         "cross_competitor_agreement",
         F.when(F.col("_sellers") > 1, F.col("_similar") / (F.col("_sellers") - 1)),
