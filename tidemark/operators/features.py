@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar as S
 from tidemark.functions import scales
 from tidemark.functions.text import title_similarity
-from tidemark.plans.skew import CHUNK_ROWS, exact_median, over_series
+from tidemark.plans.skew import CHUNK_ROWS, chunk_series, exact_median, over_series
 
 TREE_FEATURES = [
     "price",
@@ -339,20 +339,64 @@ def coherence_features(df: DataFrame) -> DataFrame:
 
 
 def unchanged_runs(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str = "seen_at",
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str = "seen_at", chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Position inside each run of equal consecutive prices, and when the run began.
 
-    Gaps and islands without a frame over whole series: runs are numbered by a
-    running count of changes, which needs one sorted pass per series.
+    Gaps and islands in one sorted pass per series. A long series is cut into
+    time chunks; a run that crosses into a chunk is continued from a table of
+    one row per chunk. Prices must not be null.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy(*order)
-    changed = F.when(F.lag("price").over(w).eqNullSafe(F.col("price")), 0).otherwise(1)
-    numbered = df.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(w))
-    run = Window.partitionBy(*keys, "_run").orderBy(*order)
-    return numbered.withColumns({
+    keys, order = list(keys), list(order)
+    chunked, cut = chunk_series(df, keys, micros(time), chunk_rows)
+    part = [*keys, "_chunk"]
+    w = Window.partitionBy(*part).orderBy(*order)
+    changed = F.when(F.lag("price").over(w) == F.col("price"), 0).otherwise(1)
+    # The first row of a chunk opens run 1 whether or not it continues an earlier one.
+    numbered = chunked.withColumn("_new", changed).withColumn("_run", F.sum("_new").over(w))
+    run = Window.partitionBy(*part, "_run").orderBy(*order)
+    out = numbered.withColumns({
         "consecutive_unchanged": (F.row_number().over(run) - 1).cast("long"),
         "last_change_at": F.first(time).over(run),
-    }).withColumn("is_persistent", F.col("consecutive_unchanged") >= 1).drop("_changed", "_run")
+    })
+    if cut:
+        out = _continue_runs(out, keys, order)
+    return out.withColumn("is_persistent", F.col("consecutive_unchanged") >= 1).drop("_new", "_run", "_chunk")
+
+
+def _continue_runs(runs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Add to each chunk's first run the rows it already had in earlier chunks."""
+    part = [*keys, "_chunk"]
+    edge = F.struct(*order)
+    chunks = runs.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min_by("price", edge).alias("_first"),
+        F.max_by("price", edge).alias("_last"),
+        F.max("_run").alias("_runs"),
+        F.max_by(F.col("consecutive_unchanged") + 1, edge).alias("_tail"),
+        F.max_by("last_change_at", edge).alias("_since"),
+    )
+    w = Window.partitionBy(*keys).orderBy("_chunk")  # one row per chunk
+    chunks = chunks.withColumns({
+        "_joined": F.coalesce(F.lag("_last").over(w) == F.col("_first"), F.lit(False)),
+        "_before": F.coalesce(F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    })
+    # Where a chunk's last run starts in the series; unknown when the whole chunk continues an older run.
+    own = ~(F.col("_joined") & (F.col("_runs") == 1))
+    chunks = chunks.withColumns({
+        "_start": F.when(own, F.col("_before") + F.col("_rows") - F.col("_tail")),
+        "_began": F.when(own, F.col("_since")),
+    })
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.select(
+        *part,
+        F.when(F.col("_joined"), F.col("_before") - F.last("_start", True).over(so_far)).alias("_carry"),
+        F.when(F.col("_joined"), F.last("_began", True).over(so_far)).alias("_carry_since"),
+    )
+    first = F.col("_run") == 1
+    carried = runs.join(carry, part)
+    return carried.withColumns({
+        "consecutive_unchanged": F.col("consecutive_unchanged")
+        + F.when(first, F.coalesce("_carry", F.lit(0))).otherwise(0),
+        "last_change_at": F.when(first, F.coalesce("_carry_since", "last_change_at")).otherwise(F.col("last_change_at")),
+    }).drop("_carry", "_carry_since")
