@@ -58,6 +58,16 @@ def persist_table(df: DataFrame, label: str, partition_by: list[str] | None = No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan with fewer splits than cores; larger scans stay as they are.
+
+    A table in one small file would otherwise keep every narrow step behind it
+    on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once per Spark context."""
     context = spark.sparkContext
