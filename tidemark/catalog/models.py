@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.base import ORDER, SERIES, event_observations, query, rounded, stored
+from tidemark.catalog.base import OBS, ORDER, SERIES, event_observations, query, rounded, stored, with_sql
 from tidemark.catalog.evaluation import observation_table, scored_base
+from tidemark.catalog.features import ROLL, TREE
 from tidemark.operators import cascade as C
 from tidemark.operators import cutforest as R
 from tidemark.operators import features as X
@@ -115,7 +116,10 @@ def reconstruction_recalibration(spark, d):
     return rounded(out, "p90_0", "p95_0", "p99_0")
 
 
-@query("training_status_by_run")
+@query("training_status_by_run", with_sql(OBS, ROLL, TREE, """ts AS (SELECT competitor_id, strftime(seen_at, '%Y%m') AS month, count(*) AS n_rows FROM tree WHERE """
+    + " OR ".join(f"abs({c}) > 1e-8" for c in X.TREE_FEATURES[4:]) + """ GROUP BY ALL)""",
+    body="""SELECT competitor_id, month, n_rows, CASE WHEN n_rows < 10 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN n_rows < 10 THEN 'need 10 rows, got ' || n_rows ELSE '' END AS message FROM ts"""))
 def training_status_by_run(spark, d):
     rows = X.trainable(feature_table(spark, d)).withColumn("month", F.date_format("seen_at", "yyyyMM"))
     return T.training_status(rows, ["competitor_id", "month"])

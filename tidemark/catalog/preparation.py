@@ -56,8 +56,9 @@ def evaluation_row_index(spark, d):
     obs = observations(spark, d).withColumns({
         "original_price": F.col("price"), "is_injected": F.lit(False), "anomaly_type": F.lit(""),
     })
-    day = F.datediff("seen_at", F.lit("1970-01-01"))
-    indexed = H.row_index(obs, ORDER, day)
+    day = F.datediff("seen_at", F.lit("1970-01-01")).cast("long")
+    # Within a day the order is that of the ids, so their first characters refine the bucket.
+    indexed = H.row_index(obs, ORDER, day * 65536 + H.text_bucket("obs_id"))
     return rounded(indexed, "original_price").select(
         "obs_id", "evaluation_row_id", "original_price", "is_injected", "anomaly_type"
     )
@@ -68,7 +69,8 @@ def evaluation_row_index(spark, d):
 def reindexed_union(spark, d):
     """Row ids unique over a union of datasets: each dataset's ids follow the one before."""
     obs = observations(spark, d)
-    bucket = F.substring("country", -1, 1).cast("int") * 100_000 + F.datediff("seen_at", F.lit("1970-01-01"))
+    place = F.substring("country", -1, 1).cast("long") * 100_000 + F.datediff("seen_at", F.lit("1970-01-01"))
+    bucket = place * 65536 + H.text_bucket("obs_id")
     indexed = H.row_index(obs, ["country", *ORDER], bucket, name="i")
     return indexed.groupBy("country").agg(
         F.min("i").alias("first_id"), F.max("i").alias("last_id"), F.count_distinct("i").alias("n_ids")

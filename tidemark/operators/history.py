@@ -79,6 +79,14 @@ def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int)
     return df.withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= n).drop("_back")
 
 
+def text_bucket(column: str, chars: int = 2) -> Column:
+    """Integer that never falls along the binary order of ASCII text: its first characters."""
+    out = F.lit(0).cast("long")
+    for i in range(1, chars + 1):
+        out = out * 256 + F.ascii(F.substring(column, i, 1))
+    return out
+
+
 def row_index(df: DataFrame, order: Sequence[str], bucket: Column, by: Sequence[str] = (),
               name: str = "evaluation_row_id") -> DataFrame:
     """Zero-based index over a total order; ``bucket`` must not fall along it."""
