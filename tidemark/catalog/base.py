@@ -134,6 +134,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def observation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations stored once, for queries that read them several times."""
+    return stored(spark, sf_dir, "observations", observations)
+
+
 OBS = """obs AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS obs_id,
     l_partkey AS product_id,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import (
-    EV, OBS, ORDER, SERIES, event_observations, observations, query, r6, r6_sql, rounded, stored, uniform_sql,
+    EV, OBS, ORDER, SERIES, event_observations, observation_table, observations, query, r6, r6_sql, rounded, stored, uniform_sql,
     with_sql,
 )
 from tidemark.catalog.scoring import cap, fold_sql
@@ -148,10 +148,6 @@ def scored(injected, keys=tuple(SERIES), order=tuple(ORDER)):
     })
 
 
-def observation_table(spark, d):
-    return stored(spark, d, "observations", observations)
-
-
 def injected_base(spark, d):
     """Injected rows of both splits, stored once."""
     return stored(spark, d, "injected", lambda s, p: I.inject(

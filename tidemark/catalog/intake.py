@@ -169,7 +169,7 @@ def file_inventory(spark, d):
 
 
 @query("schema_aligned_union", with_sql(OBS, body=f"""SELECT segment, count(*) AS n_rows, count(list_price) AS n_listed,
-  {r6_sql('sum(price)', 'total')} FROM (SELECT segment, price, list_price FROM obs WHERE segment = 'B2B'
+  {r6_sql('sum(CAST(price AS DECIMAL(18,4)))', 'total')} FROM (SELECT segment, price, list_price FROM obs WHERE segment = 'B2B'
   UNION ALL SELECT segment, floor(price) AS price, NULL AS list_price FROM obs WHERE segment = 'B2C') GROUP BY segment"""))
 def schema_aligned_union(spark, d):
     """Second frame: price as text of whole units, no list price, one extra column."""
@@ -179,7 +179,7 @@ def schema_aligned_union(spark, d):
     )
     both = O.align_union([obs.filter(F.col("segment") == "B2B"), other])
     return both.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("list_price").alias("n_listed"), r6(F.sum("price"), "total")
+        F.count(F.lit(1)).alias("n_rows"), F.count("list_price").alias("n_listed"), r6(F.sum(F.col("price").cast("decimal(18,4)")), "total")
     )
 
 

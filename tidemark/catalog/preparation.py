@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import (
-    OBS, ORDER, SERIES, observations, query, r6, r6_sql, rounded, table, uniform_sql, with_sql,
+    OBS, ORDER, SERIES, query, r6, r6_sql, rounded, table, uniform_sql, with_sql,
 )
+from tidemark.catalog.base import observation_table as observations
 from tidemark.functions import scalar as S
 from tidemark.operators import history as H
 from tidemark.plans import preparation as P
@@ -30,11 +31,11 @@ def history_levels(spark, d):
     return H.history_levels(observations(spark, d), H.parse_levels(["mh30", 5, "20", "mh25", 35, "mh5"]))
 
 
-@query("valid_price_rows", with_sql(OBS, body=f"""SELECT run_id, count(*) AS n_valid, {r6_sql('sum(price)', 'total')} FROM obs
+@query("valid_price_rows", with_sql(OBS, body=f"""SELECT run_id, count(*) AS n_valid, {r6_sql('sum(CAST(price AS DECIMAL(18,4)))', 'total')} FROM obs
   WHERE price > 0 GROUP BY run_id"""))
 def valid_price_rows(spark, d):
     return H.valid_prices(observations(spark, d)).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n_valid"), r6(F.sum("price"), "total")
+        F.count(F.lit(1)).alias("n_valid"), r6(F.sum(F.col("price").cast("decimal(18,4)")), "total")
     )
 
 
@@ -171,11 +172,11 @@ SCOPED = """scoped AS (SELECT *, 'competitor' AS scope_kind, competitor_id AS sc
   UNION ALL SELECT *, 'global', 'global' FROM obs)"""
 
 
-@query("scope_expansion", with_sql(OBS, SCOPED, body=f"""SELECT scope_kind, scope_id, count(*) AS n_rows, {r6_sql('sum(price)', 'total')}
+@query("scope_expansion", with_sql(OBS, SCOPED, body=f"""SELECT scope_kind, scope_id, count(*) AS n_rows, {r6_sql('sum(CAST(price AS DECIMAL(18,4)))', 'total')}
   FROM scoped GROUP BY scope_kind, scope_id"""))
 def scope_expansion(spark, d):
     return P.expand_scopes(observations(spark, d)).groupBy("scope_kind", "scope_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), r6(F.sum("price"), "total")
+        F.count(F.lit(1)).alias("n_rows"), r6(F.sum(F.col("price").cast("decimal(18,4)")), "total")
     )
 
 
