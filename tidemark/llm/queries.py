@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, outliers
+from tidemark.llm import mixing, outliers, winnowing
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,3 +42,8 @@ def robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"
     )
+
+
+@query("op3_winnowing")
+def winnowed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_edit(table(spark, sf_dir, "documents"))
