@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, outliers, winnowing
+from tidemark.llm import mixing, outliers, records, tokens, winnowing
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,13 @@ def robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_winnowing")
 def winnowed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_edit(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op9_token_records")
+def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.encode_to_records(table(spark, sf_dir, "documents"))
