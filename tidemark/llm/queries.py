@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, outliers, records, tokens, winnowing
+from tidemark.llm import linededup, mixing, outliers, records, tokens, winnowing
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +58,9 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_records")
 def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.encode_to_records(table(spark, sf_dir, "documents"))
+
+
+@query("op8_line_dedup")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = linededup.delete_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
