@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, mixing, outliers, records, tokens, winnowing
+from tidemark.llm import bagminhash, linededup, mixing, outliers, records, tokens, winnowing
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,8 @@ def token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = linededup.delete_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("op6_bagminhash")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
