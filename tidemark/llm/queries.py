@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, linededup, mixing, outliers, records, tokens, toxicity, winnowing
+from tidemark.llm import bagminhash, linededup, mixing, outliers, pieces, records, tokens, toxicity, winnowing
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,8 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = toxicity.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "p_poor", "p_toxic", "p_toxic_prose", "rejected")
+
+
+@query("op7_piece_codec")
+def piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"))

@@ -84,9 +84,13 @@ class WordEncoder:
             self._learn(new)
         return np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
 
+    def split(self, texts: pa.Array) -> pa.Array:
+        """Lists of the words of each text."""
+        return pc.ascii_split_whitespace(texts)
+
     def encode(self, texts: pa.Array, with_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Number of ids of each text and, on request, all ids one text after the other. No nulls."""
-        split = pc.ascii_split_whitespace(texts)
+        split = self.split(texts)
         bounds = split.offsets.to_numpy()
         flat = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         entry = self._entries(flat.dictionary.to_pylist())
