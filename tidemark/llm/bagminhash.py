@@ -34,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 26, 5
 REGISTERS = BANDS * BAND_ROWS
 BATCH_ROWS = 1_000
+# Strangers of a bucket that become pivots in one round, from the second round on.
+PIVOTS = 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -140,11 +142,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), rows], ["doc_id", "node", "bands"])
 
 
-def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-    _, element, count = bags(pa.array([text]))
-    return element, count
-
-
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Exact weighted Jaccard similarity of two bags."""
     total = int(a[1].sum() + b[1].sum())
@@ -154,16 +151,22 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last, bag = None, None
     for batch in batches:
-        b_ids, b_texts, a_texts = batch.column("b"), batch.column("b_text"), batch.column("a_text")
-        found = []
-        for i in range(batch.num_rows):
-            b = b_ids[i].as_py()
-            if b != last:
-                last, bag = b, _bag(b_texts[i].as_py())
-            found.append(overlap(_bag(a_texts[i].as_py()), bag))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), b_ids, pa.array(found, pa.float64())], ["a", "b", "similarity"])
+        for at in range(0, batch.num_rows, BATCH_ROWS // 2):
+            part = batch.slice(at, BATCH_ROWS // 2)
+            n = part.num_rows
+            # A pivot's rows follow each other: its bag is made once per run of rows.
+            pivots = part.column("b").dictionary_encode()
+            which = pivots.indices.to_numpy()
+            first = np.unique(which, return_index=True)[1]
+            texts = pa.concat_arrays([part.column("a_text"), part.column("b_text").take(pa.array(first))])
+            text, element, count = bags(texts)
+            ends = np.searchsorted(text, np.arange(n + len(first) + 1))
+            one = lambda i: (element[ends[i] : ends[i + 1]], count[ends[i] : ends[i + 1]])
+            found = [overlap(one(i), one(n + which[i])) for i in range(n)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("a"), part.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"]
+            )
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -184,11 +187,11 @@ def bucket_links(members: DataFrame, texts: DataFrame, threshold: float = SIMILA
     from the pivot differs from a stranger's by at most 1 - threshold.
     """
     reach = 1.0 - threshold + 1e-9
-    links, known, strangers_only = [], None, 1
+    links, known, pivots_each = [], None, 1
     active = members.withColumn("linked", F.lit(0))
     while True:
-        # Several pivots a round once the first one has separated the bucket: the smallest of each residue.
-        residue = F.pmod("node", F.lit(strangers_only))
+        # Many pivots a round once the first one has separated the bucket: the smallest of each residue.
+        residue = F.pmod(F.xxhash64("node"), F.lit(pivots_each))
         first = active.groupBy("bucket", residue.alias("_r")).agg(
             F.min(F.when(F.col("linked") == 0, F.col("node"))).alias("pivot")
         ).filter("pivot is not null").select("bucket", "pivot")
@@ -206,7 +209,7 @@ def bucket_links(members: DataFrame, texts: DataFrame, threshold: float = SIMILA
         pivots = first.withColumnRenamed("pivot", "node")
         # A linked member keeps only what every pivot of the round leaves open.
         fate = placed.withColumn("stranger", (F.col("linked") == 0) & (F.col("d") > reach))
-        if strangers_only > 1:
+        if pivots_each > 1:
             fate = fate.withColumn("stranger", F.col("linked") == 0)
         spread = fate.groupBy("bucket", "pivot").agg(
             F.min(F.when(F.col("stranger"), F.col("d"))).alias("_low"), F.max(F.when(F.col("stranger"), F.col("d"))).alias("_high")
@@ -221,7 +224,7 @@ def bucket_links(members: DataFrame, texts: DataFrame, threshold: float = SIMILA
         active = active.join(left, "bucket", "left_semi")
         if active.isEmpty():
             return links
-        strangers_only = 4
+        pivots_each = PIVOTS
 
 
 def components(edges: DataFrame) -> DataFrame:
