@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, linededup, mixing, outliers, pieces, records, tokens, toxicity, winnowing
+from tidemark.llm import bagminhash, linededup, mixing, outliers, pieces, pii, records, tokens, toxicity, winnowing
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,8 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_piece_codec")
 def piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op5_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_digests(table(spark, sf_dir, "documents"))
