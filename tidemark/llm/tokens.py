@@ -20,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import shield, text_of
 
 TOKENIZER = "word_bpe_49k.json"
 # Texts longer than this many characters are encoded in overlapping chunks.
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 256
-# Distinct words a worker remembers; at the limit it starts afresh. Results do not depend on it.
-MEMO_WORDS = 1_000_000
-BATCH_ROWS = 2_000
+# Distinct words a worker remembers; beyond, it forgets those met in one batch only. Results do not depend on it.
+MEMO_WORDS = 300_000
+BATCH_ROWS = 1_000
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -43,12 +43,25 @@ class WordEncoder:
 
     def __init__(self, name: str, limit: int = MEMO_WORDS):
         self.tokenizer, self.limit = load(name), limit
-        self.markers = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.batches = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        """Keep the words met in several batches since the last time, half the limit at most."""
+        often = np.flatnonzero(self.batches > 1)
+        if len(often) > self.limit // 2:
+            often = np.sort(often[np.argsort(-self.batches[often], kind="stable")[: self.limit // 2]])
+        place = np.full(len(self.lengths), -1, np.int64)
+        place[often] = np.arange(len(often))
+        self.known = {w: int(place[i]) for w, i in self.known.items() if place[i] >= 0}
+        size, first = self.lengths[often], (np.cumsum(self.lengths) - self.lengths)[often]
+        upto = np.cumsum(size)
+        self.ids = self.ids[np.repeat(first - (upto - size), size) + np.arange(int(size.sum()))]
+        self.lengths, self.batches = size, np.zeros(len(often), np.int32)
 
     def _key(self, word: str) -> str:
         # The normalizer lowers letters; a marker of the vocabulary is matched before that, so such words stay.
@@ -56,20 +69,22 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         lengths, ids = [], []
-        plain = [w for w in words if not any(m in w for m in self.markers)]
-        odd = [w for w in words if any(m in w for m in self.markers)]
+        # Words of a part are told apart by a digit between them: always one id of its own, absent from the words.
+        plain = [w for w in words if "0" not in w and "<|" not in w]
+        odd = [w for w in words if "0" in w or "<|" in w]
+        (mark,) = self.tokenizer.encode("0", add_special_tokens=False).ids
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
-            starts = np.cumsum([0, *[len(w) + 1 for w in part]])
-            made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            begun = np.fromiter((o[0] for o in made.offsets), np.int64, len(made.ids))
-            of = np.searchsorted(starts, begun, "right") - 1
-            lengths.append(np.bincount(of, minlength=len(part))[: len(part)])
+            (made,) = self.tokenizer.encode_batch_fast([" 0 ".join([*part, ""])], add_special_tokens=False)
+            got = np.array(made.ids, np.uint32)
+            ends = np.flatnonzero(got == mark)
+            if len(ends) != len(part):
+                raise ValueError("words could not be told apart")
+            lengths.append(np.diff(ends, prepend=-1) - 1)
+            ids.append(np.delete(got, ends))
+        for made in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False):
+            lengths.append(np.array([len(made.ids)]))
             ids.append(np.array(made.ids, np.uint32))
-        for w in odd:
-            one = self.tokenizer.encode(w, add_special_tokens=False).ids
-            lengths.append(np.array([len(one)]))
-            ids.append(np.array(one, np.uint32))
         for w in [*plain, *odd]:
             self.known[w] = len(self.known)
         self.lengths = np.concatenate([self.lengths, *lengths]).astype(np.int64)
@@ -78,11 +93,14 @@ class WordEncoder:
     def _entries(self, words: list[str]) -> np.ndarray:
         keys = [self._key(w) for w in words]
         if len(self.known) > self.limit:
-            self._clear()
+            self._forget()
         new = [w for w in dict.fromkeys(keys) if w not in self.known]
         if new:
             self._learn(new)
-        return np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
+        entry = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
+        self.batches = np.concatenate([self.batches, np.zeros(len(self.lengths) - len(self.batches), np.int32)])
+        self.batches[np.unique(entry)] += 1
+        return entry
 
     def split(self, texts: pa.Array) -> pa.Array:
         """Lists of the words of each text."""
@@ -214,6 +232,6 @@ def count_tokens(
                     ["doc_id", "n_bytes", "n_tokens"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = shield(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
