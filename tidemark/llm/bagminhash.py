@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import shield, text_of
 from tidemark.session import persist_table
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -265,7 +265,7 @@ def duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
     columns are not returned; texts are read whole; no rows give no rows.
     """
     node = F.xxhash64(F.sha2(text_of(), 256))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), text_of().alias("text"))
+    rows = shield(docs).select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), text_of().alias("text"))
     signed = persist_table(rows.mapInArrow(_sign, "doc_id bigint, node bigint, bands array<bigint>"), "signatures")
     nodes = persist_table(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "texts")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -288,11 +288,10 @@ def duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row of ``docs`` for each class: that of the smallest doc_id (any, where that is repeated)."""
-    from pyspark.sql import Window
-
+    columns, docs = docs.columns, shield(docs)
     classes = duplicate_classes(docs, threshold)
     heads = classes.groupBy("class_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("_node"))
     keyed = docs.withColumn("_text", F.xxhash64(F.sha2(text_of(), 256)))
     kept = keyed.join(heads, (F.col("_text") == F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("class_id")))
     one = Window.partitionBy("_text", "class_id").orderBy(*[F.col(c) for c in docs.columns if c in ("doc_id", "source", "lang")])
-    return kept.withColumn("_i", F.row_number().over(one)).filter("_i = 1").select(*docs.columns)
+    return kept.withColumn("_i", F.row_number().over(one)).filter("_i = 1").select(*docs.columns).toDF(*columns)

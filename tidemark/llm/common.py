@@ -14,6 +14,19 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 20_000
 
 
+DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def shield(df: DataFrame, needed: Sequence[str] = DOCUMENT) -> DataFrame:
+    """``df`` with every column that is not exactly one of ``needed`` under a neutral name.
+
+    Extra columns may then have any name, also one that an operator uses inside
+    or one that differs from a needed one only in case. ``toDF(*df.columns)``
+    brings the names back.
+    """
+    return df.toDF(*[c if c in needed else f"extra_{i}_" for i, c in enumerate(df.columns)])
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

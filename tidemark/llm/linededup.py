@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import key_of, text_of
+from tidemark.llm.common import key_of, shield, text_of
 from tidemark.session import persist_table
 
 MIN_WORDS = 50
@@ -150,7 +150,8 @@ def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     new text. Extra columns stay, those named as added ones are replaced; no rows
     give no rows. Texts are read whole.
     """
-    rows = docs.drop("n_lines", "n_deleted")
+    kept = docs.drop("n_lines", "n_deleted")
+    rows = shield(kept)
     runs = repeated_runs(rows, min_words)
     doc = F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("h"))
     keyed = rows.withColumn("_doc", doc).withColumn("_key", key_of("_doc")).drop("_doc")
@@ -176,4 +177,4 @@ def delete_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             )
 
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names) + ", text string, n_lines bigint, n_deleted bigint"
-    return joined.select(*names, "text", "_runs").mapInArrow(run, schema).select(*rows.columns, "n_lines", "n_deleted")
+    return joined.select(*names, "text", "_runs").mapInArrow(run, schema).select(*rows.columns, "n_lines", "n_deleted").toDF(*kept.columns, "n_lines", "n_deleted")

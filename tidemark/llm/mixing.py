@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_parameters, key_of, sum_before, text_of, words
+from tidemark.llm.common import join_parameters, key_of, shield, sum_before, text_of, words
 from tidemark.session import persist_table
 
 # Running sums go bucket by bucket, so that a source of any size is spread over this many.
@@ -84,11 +84,9 @@ def mix(
     Null text counts 0 words; such and empty documents are taken in complete
     epochs only, plus at the start of the rest. A null source is a source of its
     own. Repeated rows are documents of their own with equal keys; ties follow
-    doc_id, then size. Extra columns stay; columns with the names added here are
-    replaced. No rows give no rows.
+    doc_id, then size. Extra columns are not returned. No rows give no rows.
     """
-    added = ["size", "source_size", "target", "copies", "taken"]
-    rows = docs.drop(*added).withColumn("size", word_count(text_of()))
+    rows = shield(docs).withColumn("size", word_count(text_of()))
     # Texts are read once; what follows works on four numbers a document.
     narrow = persist_table(rows.select("doc_id", "source", "size", F.xxhash64(text_of()).alias("_text")), "mix-sizes")
     if labels is not None:
@@ -121,7 +119,9 @@ def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, **options)
 
     The text is joined back by document, source and hash of the text; rows equal
     in all three are counted together, so that none is multiplied by the join.
+    The other cases are those of ``mix``; extra columns stay.
     """
+    columns, docs = docs.columns, shield(docs)
     chosen = mix(docs, labels, **options).groupBy("doc_id", "source", "_text").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     named = chosen.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("_text").alias("_t"), "_copies", "_rows")
     joined = docs.join(
@@ -134,5 +134,5 @@ def mixed_documents(docs: DataFrame, labels: DataFrame | None = None, **options)
     share = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_i") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     return (
         joined.withColumn("_share", share.cast("int")).filter("_share > 0")
-        .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_share"))).alias("_copy")).drop("_copy")
+        .select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_share"))).alias("_copy")).drop("_copy").toDF(*columns)
     )

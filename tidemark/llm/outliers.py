@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import join_parameters, key_of, let, text_of, words
+from tidemark.llm.common import join_parameters, key_of, let, shield, text_of, words
 from tidemark.session import persist_table
 
 FEATURES = ["f_length", "f_word", "f_symbol", "f_line", "f_repeat"]
@@ -194,6 +194,7 @@ def judge(
     source is a value of its own. Repeated rows count as often as they occur.
     Texts are read whole; extra columns are not returned; no rows give no rows.
     """
+    docs = shield(docs)
     for c in ("lang", "source"):
         if c not in docs.columns:
             docs = docs.withColumn(c, F.lit(None).cast("string"))

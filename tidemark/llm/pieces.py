@@ -26,12 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import shield, text_of
 from tidemark.llm.tokens import MEMO_WORDS, WordEncoder
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_ROWS = 4_000
+BATCH_ROWS = 2_000
 # Characters indexed at once, and the length from which a word takes the queue instead of the rounds.
 INDEX_CHARS, LONG_WORD = 400_000, 200
 _UNITS = re.compile(" +[^ ]*")
@@ -278,7 +278,7 @@ def encode_documents(docs: DataFrame, name: str = MODEL) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "ids"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text"))
+    rows = shield(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text"))
     return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
@@ -318,5 +318,5 @@ def piece_digests(docs: DataFrame, name: str = MODEL) -> DataFrame:
                 ["doc_id", "n_bytes", "n_pieces", "ids_crc32", "restored"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text"))
+    rows = shield(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("_text"))
     return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_pieces bigint, ids_crc32 bigint, restored boolean")

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of
+from tidemark.llm.common import shield, text_of
 from tidemark.session import persist_table
 
 # Labelled documents used for fitting: the bound of the sample, chosen by a hash of the id.
@@ -243,14 +243,15 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float | None = None, ke
     only with ``keep_text``); those named as added ones are replaced.
     """
     categories = standard_categories()
-    chain = train(docs, labels, categories)
+    chain = train(shield(docs), shield(labels, ("doc_id", "quality", "toxic")), categories)
     added = [f"p_{c}" for c in categories] + ["rejected"]
-    rows = docs.drop(*added)
+    rows = shield(docs.drop(*added))
+    names = docs.drop(*added).columns
     if chain is None:
         scored = rows.withColumns({f"p_{c}": F.lit(0.0) for c in categories})
     else:
         scored = score(rows, chain)
     if threshold is None:
         threshold = chain.cuts[chain.categories.index("toxic")] if chain else CUT_RANGE[1]
-    scored = scored.withColumn("rejected", F.col("p_toxic") >= threshold)
+    scored = scored.withColumn("rejected", F.col("p_toxic") >= threshold).toDF(*names, *added)
     return scored if keep_text else scored.drop("text")

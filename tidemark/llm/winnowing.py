@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, text_of, words
+from tidemark.llm.common import let, shield, text_of, words
 
 K, WINDOW = 5, 8
 # Neighbours are found inside buckets of the id order; their number is bounded, their bounds are parameters.
@@ -123,7 +123,7 @@ def fingerprint_documents(docs: DataFrame, k: int = K, window: int = WINDOW) ->
     words are one run. Repeated rows give repeated results; extra columns are
     not returned; no rows give no rows.
     """
-    return docs.select("doc_id", F.length(text_of()).cast("long").alias("n_chars"), fingerprint(text_of(), k, window).alias("marks"))
+    return shield(docs).select("doc_id", F.length(text_of()).cast("long").alias("n_chars"), fingerprint(text_of(), k, window).alias("marks"))
 
 
 def compare_with_edit(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -133,7 +133,7 @@ def compare_with_edit(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
     many code points from the start of the next document, or all it has. The
     cases of ``fingerprint_documents`` hold here too.
     """
-    rows = docs.select("doc_id", text_of().alias("text"))
+    rows = shield(docs).select("doc_id", text_of().alias("text"))
     marks = fingerprint(F.col("text"), k, window)
     carried = {"whole": F.col("text"), "made": let(marks, lambda m: F.struct(
         F.transform(m, lambda x: x["hash"]).alias("hashes"), fingerprint_digest(m).alias("digest")
