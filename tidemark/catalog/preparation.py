@@ -152,21 +152,6 @@ def split_inventory_by_country(spark, d):
     return P.split_inventory(P.split_observations(obs, by=["country"]), ["country"])
 
 
-@query("quick_subset", with_sql(OBS, split_sql(), """tc AS (SELECT product_id, count(*) AS c FROM sp WHERE dataset_split = 'new_products' GROUP BY product_id
-  ORDER BY c DESC, product_id LIMIT 64),
-ch AS (SELECT product_id FROM (SELECT *, sum(c) OVER (ORDER BY c DESC, product_id) - c AS held FROM tc) WHERE held < 512)""",
-    body="""SELECT 'history' AS part, obs_id FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY seen_at DESC, obs_id DESC) AS bb
-  FROM obs WHERE product_id IN (SELECT product_id FROM ch)) WHERE bb <= 30
-  UNION ALL SELECT 'test', obs_id FROM sp WHERE dataset_split = 'new_products' AND product_id IN (SELECT product_id FROM ch)"""))
-def quick_subset(spark, d):
-    obs = observations(spark, d)
-    test = P.split_observations(obs).filter(F.col("dataset_split") == "new_products")
-    kept, small = P.quick_subset(obs, test, ORDER)
-    return kept.select(F.lit("history").alias("part"), "obs_id").unionByName(
-        small.select(F.lit("test").alias("part"), "obs_id")
-    )
-
-
 SCOPED = """scoped AS (SELECT *, 'competitor' AS scope_kind, competitor_id AS scope_id FROM obs
   UNION ALL SELECT *, 'country', country FROM obs UNION ALL SELECT *, 'country_market', country || '_' || segment FROM obs
   UNION ALL SELECT *, 'global', 'global' FROM obs)"""

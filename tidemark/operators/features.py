@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalar as S
 from tidemark.functions import scales
 from tidemark.functions.text import title_similarity
-from tidemark.plans.skew import CHUNK_ROWS, chunk_series, exact_median, over_series
+from tidemark.plans.skew import CHUNK_ROWS, null_safe_join, chunk_series, exact_median, over_series
 
 TREE_FEATURES = [
     "price",
@@ -394,7 +394,7 @@ def _continue_runs(runs: DataFrame, keys: list[str], order: list[str]) -> DataFr
         F.when(F.col("_joined"), F.last("_began", True).over(so_far)).alias("_carry_since"),
     )
     first = F.col("_run") == 1
-    carried = runs.join(carry, part)
+    carried = null_safe_join(runs, carry, part)
     return carried.withColumns({
         "consecutive_unchanged": F.col("consecutive_unchanged")
         + F.when(first, F.coalesce("_carry", F.lit(0))).otherwise(0),

@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.operators.rules import DEPTH, Baseline
-from tidemark.plans.skew import CHUNK_ROWS, chunk_series
+from tidemark.plans.skew import CHUNK_ROWS, chunk_series, null_safe_join, series_key
 from tidemark.session import persist_table, ship_package
 
 STATE = T.StructType([
@@ -87,47 +88,53 @@ def step(base: Baseline, price: float | None, now: int, row: dict, rule: Rule,
     return n, mean, std, z, change, unchanged, days, flagged, score, severity, types, accepted
 
 
-def _walker(keys: list[str], keep: list[str], extra: list[str], rules: dict[str, Rule] | Rule,
+def _walker(keep: list[str], extra: list[str], rules: dict[str, Rule] | Rule,
             acceptance: bool, tolerance: float, hours: float, emit: str):
-    """mapInPandas body over rows sorted by series, entry state first, then time."""
-    names = [f.name for f in RESULT.fields]
+    """mapInArrow body over rows sorted by series, entry state first, then time.
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Series are told apart by ``_series``, one non-null text per key, and rows to
+    keep stay Arrow rows, so that keys of any type, nulls included, pass unchanged.
+    """
+    result_types = [pa.field(f.name, to_arrow_type(f.dataType)) for f in RESULT.fields]
+    state_type = pa.struct([pa.field(f.name, to_arrow_type(f.dataType)) for f in STATE.fields])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, base, rule = None, None, None
-        for pdf in batches:
-            key_rows = list(zip(*[pdf[k].tolist() for k in keys]))
-            seeds, prices = pdf["_state"].tolist(), pdf["price"].tolist()
-            times, ends = pdf["_us"].tolist(), pdf["_end"].tolist()
-            extras = [pdf[c].tolist() for c in extra]
+        for batch in batches:
+            column = {c: batch.column(c).to_pylist() for c in ("_series", "_state", "price", "_us", "_end", "_candidate", *extra)}
             picked, results, finished = [], [], []
-            for i, key in enumerate(key_rows):
-                if key != current:
-                    current, base = key, Baseline()
-                    rule = rules[key[-1]] if isinstance(rules, dict) else rules
-                if seeds[i] is not None:
-                    base = state_from(seeds[i])
+            for i, series in enumerate(column["_series"]):
+                if series != current:
+                    current, base = series, Baseline()
+                    rule = rules[column["_candidate"][i]] if isinstance(rules, dict) else rules
+                if column["_state"][i] is not None:
+                    base = state_from(column["_state"][i])
                     continue
-                if ends[i]:
-                    finished.append((*key, *base.snapshot()))
+                if column["_end"][i]:
+                    finished.append((series, base.snapshot()))
                     continue
-                row = {c: _none(v[i]) for c, v in zip(extra, extras)}
-                result = step(base, _none(prices[i]), times[i], row, rule, acceptance, tolerance, hours)
+                row = {c: column[c][i] for c in extra}
+                result = step(base, _none(column["price"][i]), column["_us"][i], row, rule, acceptance, tolerance, hours)
                 if emit == "rows":
                     picked.append(i)
                     results.append(result)
             if emit == "rows":
-                out = pdf.iloc[picked][keep].reset_index(drop=True)
-                columns = list(zip(*results)) if results else [[] for _ in names]
-                for name, column in zip(names, columns):
-                    out[name] = pd.Series(list(column), dtype=object)
-                yield out
+                rows = pa.Table.from_batches([batch.select(keep)]).take(pa.array(picked, pa.int64()))
+                values = list(zip(*results)) if results else [[] for _ in result_types]
+                columns = [*[c.combine_chunks() for c in rows.columns], *[pa.array(v, f.type) for v, f in zip(values, result_types)]]
+                yield pa.RecordBatch.from_arrays([_whole(c) for c in columns], [*keep, *[f.name for f in result_types]])
             else:
-                state_names = [f.name for f in STATE.fields]
-                yield pd.DataFrame(finished, columns=[*keys, *state_names], dtype=object)
+                names = [f.name for f in STATE.fields]
+                states = pa.array([dict(zip(names, s)) for _, s in finished], state_type)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in finished], pa.string()), states], ["_series", "_state"])
 
     return walk
 
 
+def _whole(column) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
+
 def baseline_states(
     train: DataFrame, keys: Sequence[str], order: Sequence[str], depth: int = DEPTH
 ) -> DataFrame:
@@ -177,8 +184,9 @@ def _sorted_input(rows: DataFrame, states: DataFrame | None, keys: list[str], or
     if with_ends:
         ends = rows.select(*keys).distinct().withColumn("_slot", F.lit(2)).withColumn("_end", F.lit(True))
         parts = parts.unionByName(ends, allowMissingColumns=True)
+    parts = parts.withColumn("_series", series_key(keys))
     # The row's time and tie-break give a total order inside each series.
-    return parts.repartition(*keys).sortWithinPartitions(*keys, "_slot", *order)
+    return parts.repartition("_series").sortWithinPartitions("_series", "_slot", *order)
 
 
 def gated_fold(
@@ -207,13 +215,15 @@ def gated_fold(
     ready = _sorted_input(rows, states, run_keys, order, with_ends=False)
     fields = [ready.schema[c] for c in keep]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + RESULT.fields)
-    walk = _walker(run_keys if not isinstance(rule, dict) else _candidate_last(run_keys, keys),
-                   keep, extra, rule, acceptance, tolerance, hours, "rows")
-    return ready.mapInPandas(walk, schema)
+    walk = _walker(keep, extra, rule, acceptance, tolerance, hours, "rows")
+    return _columns_read(ready, keys, keep, extra, rule).mapInArrow(walk, schema)
 
 
-def _candidate_last(run_keys: list[str], keys: list[str]) -> list[str]:
-    return [k for k in run_keys if k != keys[-1]] + [keys[-1]]
+def _columns_read(ready: DataFrame, keys: list[str], keep: list[str], extra: list[str], rule) -> DataFrame:
+    """What the walk reads; ``_candidate`` is the key a rule is chosen by, where there are several."""
+    candidate = F.col(keys[-1]) if isinstance(rule, dict) else F.lit(None).cast("string")
+    own = ["_series", "_state", "price", "_us", "_end"]
+    return ready.withColumn("_candidate", candidate).select(*dict.fromkeys([*own, "_candidate", *keep, *extra]))
 
 
 def _prepare(df, keys, order, keep, extra, states, rule, acceptance, tolerance, hours, time, chunk_rows):
@@ -233,11 +243,11 @@ def _prepare(df, keys, order, keep, extra, states, rule, acceptance, tolerance,
 
 def _exit_states(rows, entries, run_keys, keys, order, keep, extra, rule, acceptance, tolerance, hours):
     ready = _sorted_input(rows, entries, run_keys, order, with_ends=True)
-    walk_keys = run_keys if not isinstance(rule, dict) else _candidate_last(run_keys, keys)
-    schema = T.StructType([rows.schema[k] for k in walk_keys] + STATE.fields)
-    walk = _walker(walk_keys, keep, extra, rule, acceptance, tolerance, hours, "states")
-    out = ready.mapInPandas(walk, schema)
-    return out.select(*run_keys, F.struct(*[f.name for f in STATE.fields]).alias("_state"))
+    walk = _walker(keep, extra, rule, acceptance, tolerance, hours, "states")
+    schema = T.StructType([T.StructField("_series", T.StringType()), T.StructField("_state", STATE)])
+    out = _columns_read(ready, keys, [], extra, rule).mapInArrow(walk, schema)
+    named = rows.select(*run_keys).distinct().withColumn("_series", series_key(run_keys))
+    return named.join(out, "_series").select(*run_keys, "_state")
 
 
 def _settle_chunks(chunked, states, run_keys, keys, order, keep, extra, rule, acceptance, tolerance, hours):
@@ -245,7 +255,7 @@ def _settle_chunks(chunked, states, run_keys, keys, order, keep, extra, rule, ac
     args = (run_keys, keys, order, keep, extra, rule, acceptance, tolerance, hours)
     # Only series with more than one chunk need settling.
     long_keys = chunked.filter(F.col("_chunk") > 0).select(*keys).distinct()
-    work = chunked.join(long_keys, keys, "left_semi")
+    work = null_safe_join(chunked, long_keys, keys, "left_semi")
     first = None
     if states is not None:
         first = states.withColumn("_chunk", F.lit(0)).select(*run_keys, "_state")
@@ -254,7 +264,7 @@ def _settle_chunks(chunked, states, run_keys, keys, order, keep, extra, rule, ac
     while True:
         proposed = exits.withColumn("_chunk", F.col("_chunk") + 1)
         known = chunked.select(*run_keys).distinct()
-        proposed = proposed.join(known, run_keys, "left_semi")
+        proposed = null_safe_join(proposed, known, run_keys, "left_semi")
         if first is not None:
             proposed = proposed.unionByName(first)
         proposed = persist_table(proposed, "fold-entries")
@@ -262,16 +272,16 @@ def _settle_chunks(chunked, states, run_keys, keys, order, keep, extra, rule, ac
             changed = proposed
         else:
             old = entries.withColumnRenamed("_state", "_old")
-            changed = proposed.join(old, run_keys, "left").filter(
+            changed = null_safe_join(proposed, old, run_keys, "left").filter(
                 ~F.to_json("_state").eqNullSafe(F.to_json("_old"))
             )
         changed = persist_table(changed.select(*run_keys), "fold-changed")
         if changed.isEmpty():
             return entries
-        redo = work.join(changed, run_keys, "left_semi")
-        again = _exit_states(redo, proposed.join(changed, run_keys, "left_semi"), *args)
+        redo = null_safe_join(work, changed, run_keys, "left_semi")
+        again = _exit_states(redo, null_safe_join(proposed, changed, run_keys, "left_semi"), *args)
         exits = persist_table(
-            exits.join(changed, run_keys, "left_anti").unionByName(again), "fold-exits"
+            null_safe_join(exits, changed, run_keys, "left_anti").unionByName(again), "fold-exits"
         )
         entries = proposed
 

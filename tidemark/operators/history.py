@@ -8,7 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.skew import bucketed_row_number
+from tidemark.plans.skew import bucketed_row_number, null_safe_join
 
 DEFAULT_LEVELS = [5, 10, 15, 20, 25, 30]
 
@@ -33,7 +33,7 @@ def product_counts(df: DataFrame, keys: Sequence[str] = ("product_id",)) -> Data
 def with_counts(df: DataFrame, keys: Sequence[str] = ("product_id",)) -> DataFrame:
     """Row count of each row's series. A partial aggregate and a join, not a window:
     a long series is counted on the map side and its rows are not gathered in one task."""
-    return df.join(product_counts(df, keys), list(keys))
+    return null_safe_join(df, product_counts(df, keys), keys)
 
 
 def minimum_history(df: DataFrame, level: int, keys: Sequence[str] = ("product_id",)) -> DataFrame:

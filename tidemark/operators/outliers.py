@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import MAD_NORMAL
-from tidemark.plans.skew import CHUNK_ROWS, bucketed_row_number, exact_median, oversized
+from tidemark.plans.skew import CHUNK_ROWS, bucketed_row_number, exact_median, null_safe_join, oversized
 from tidemark.session import persist_table
 
 SLICES = 256
@@ -28,7 +28,7 @@ def value_slices(df: DataFrame, by: Sequence[str], value: str, slice_rows: int =
     cuts = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, steps, 20 * SLICES).alias("_cuts")
     ).withColumn("_cuts", F.when(F.col("_n") > slice_rows, F.col("_cuts")))
-    joined = df.join(cuts, list(by))
+    joined = null_safe_join(df, cuts, by)
     return joined.withColumn(
         "_slice",
         F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0)).cast("long"),
@@ -47,7 +47,7 @@ def _running(df: DataFrame, by: list[str], order: list[Column], what: Column, ki
         *by, "_slice",
         agg("_total").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(*outer)).alias("_carry"),
     )
-    joined = df.withColumn("_part", agg(what).over(within)).join(carry, [*by, "_slice"])
+    joined = null_safe_join(df.withColumn("_part", agg(what).over(within)), carry, [*by, "_slice"])
     pick = F.greatest if lowest else F.least
     return joined.withColumn(name, pick("_part", "_carry")).drop("_part", "_carry")
 
@@ -56,7 +56,7 @@ def _neighbour_distance(values: DataFrame, by: list[str], k: Column, cut: bool,
     """(by, ident, distance) with the k-th smallest distance inside each series."""
     low = values.select(*by, F.col("_v").alias("_a"), (F.col("_rank") + k - 1).cast("long").alias("_end"))
     high = values.select(*by, F.col("_rank").alias("_end"), F.col("_v").alias("_b"))
-    windows = low.join(high, [*by, "_end"]).select(
+    windows = null_safe_join(low, high, [*by, "_end"]).select(
         *by, ((F.col("_a") + F.col("_b")) / 2).alias("_v"), "_a", "_b", F.lit(0).alias("_kind"),
         F.lit(None).cast(values.schema["ident"].dataType).alias("ident"),
     )
@@ -101,12 +101,12 @@ def series_sn(df: DataFrame, by: Sequence[str], value: str, ident: str, slice_ro
         })
     near = _neighbour_distance(ranked, by, F.floor((F.col("_n") + 1) / 2), cut, slice_rows)
     far = _neighbour_distance(ranked, by, F.floor(F.col("_n") / 2) + 1, cut, slice_rows)
-    inner = near.join(far.withColumnRenamed("distance", "_far"), [*by, "ident"]).select(
+    inner = null_safe_join(near, far.withColumnRenamed("distance", "_far"), [*by, "ident"]).select(
         *by, ((F.col("distance") + F.col("_far")) / 2).alias("_d")
     )
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     factor = F.when(F.col("_n") % 2 == 1, F.col("_n") / (F.col("_n") - F.lit(0.9))).otherwise(1.0)
-    return exact_median(inner, by, "_d", "_mid").join(sizes, by).select(
+    return null_safe_join(exact_median(inner, by, "_d", "_mid"), sizes, by).select(
         *by, (F.col("_mid") * factor).alias("sn")
     )
 
@@ -125,15 +125,15 @@ def series_outliers(
     if method == "sd":
         scale = rows.groupBy(*by).agg(F.avg(value).alias("_c"), F.stddev_pop(value).alias("_s"))
         z = F.when(F.col("_s") > 0, (F.col(value) - F.col("_c")) / F.col("_s"))
-        out = rows.join(scale, by).withColumn("z", z)
+        out = null_safe_join(rows, scale, by).withColumn("z", z)
         return out.withColumn("is_outlier", F.coalesce(F.abs("z") > threshold, F.lit(False))).drop("_c", "_s")
-    centred = rows.join(exact_median(rows, by, value, "_c"), by)
+    centred = null_safe_join(rows, exact_median(rows, by, value, "_c"), by)
     gap = F.abs(F.col(value) - F.col("_c"))
     if method != "sn":
         mad = exact_median(centred.withColumn("_gap", gap), by, "_gap", "_mad")
-        centred = centred.join(mad, by).withColumn("_mad", F.col("_mad") * MAD_NORMAL)
+        centred = null_safe_join(centred, mad, by).withColumn("_mad", F.col("_mad") * MAD_NORMAL)
     if method != "mad":
-        centred = centred.join(series_sn(rows, by, value, ident, slice_rows), by)
+        centred = null_safe_join(centred, series_sn(rows, by, value, ident, slice_rows), by)
     parts = {}
     if method != "sn":
         parts["mad"] = F.when(F.col("_mad") > 0, gap / F.col("_mad"))

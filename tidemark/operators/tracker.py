@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark.plans.skew import series_key
 from tidemark.session import ship_package
 
 STABLE_RUNS = 2
@@ -61,29 +63,29 @@ def track_changes(
     ship_package(df.sparkSession)
     rows = df.withColumn("_us", F.unix_micros(F.col(time).cast("timestamp"))).filter(F.col("price").isNotNull())
     needed = list(dict.fromkeys([*keys, *order, *keep, run, "price", "_us"]))
-    ready = rows.select(*needed).repartition(*keys).sortWithinPartitions(*keys, *order)
+    named = rows.select(*needed).withColumn("_series", series_key(keys))
+    ready = named.repartition("_series").sortWithinPartitions("_series", *order)
     out_columns = list(dict.fromkeys([*keys, *keep]))
-    names = [f.name for f in TRACKED.fields]
+    types = [pa.field(f.name, to_arrow_type(f.dataType)) for f in TRACKED.fields]
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, position = None, None, 0
-        for pdf in batches:
-            rows_out = []
-            for key, price, run_id, now in zip(
-                zip(*[pdf[k].tolist() for k in keys]), pdf["price"].tolist(), pdf[run].tolist(), pdf["_us"].tolist()
-            ):
-                if key != current:
-                    current, state, position = key, None, 0
+        for batch in batches:
+            results = []
+            for series, price, run_id, now in zip(*[batch.column(c).to_pylist() for c in ("_series", "price", run, "_us")]):
+                if series != current:
+                    current, state, position = series, None, 0
                 position += 1
                 state, flags = advance(state, price, run_id, now)
-                rows_out.append((*state[:4], *flags, position))
-            out = pdf[out_columns].reset_index(drop=True)
-            for name, column in zip(names, zip(*rows_out)):
-                out[name] = pd.Series(list(column), dtype=object)
-            yield out
+                results.append((*state[:4], *flags, position))
+            values = list(zip(*results)) if results else [[] for _ in types]
+            kept = [batch.column(c) for c in out_columns]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, *[pa.array(v, f.type) for v, f in zip(values, types)]], [*out_columns, *[f.name for f in types]]
+            )
 
     schema = T.StructType([ready.schema[c] for c in out_columns] + TRACKED.fields)
-    return ready.mapInPandas(walk, schema)
+    return ready.mapInArrow(walk, schema)
 
 
 def latest_states(tracked: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,15 +1,15 @@
-"""Dataset preparation: scopes, product and time splits, inventories, subsets."""
+"""Dataset preparation: scopes, product and time splits, inventories."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import hash_uniform
-from tidemark.operators.history import last_rows, product_counts
-from tidemark.plans.skew import hash_cut, join_small, up_to_cut
+from tidemark.operators.history import last_rows
+from tidemark.plans.skew import hash_cut, join_small, null_safe_join, up_to_cut
 
 SCOPES = {
     "competitor": ["competitor_id"],
@@ -77,11 +77,12 @@ def split_observations(
     )
     marked = join_small(products, cut, by, "left").select(
         *by, product, up_to_cut("_u", product).alias("_new")
-    ).join(start, [*by, product])
+    )
+    marked = null_safe_join(marked, start, [*by, product])
     split = F.when(F.col("_new"), "new_products").when(
         F.struct(*order) >= F.col("_start"), "new_prices"
     ).otherwise("train")
-    return df.join(marked, [*by, product]).withColumn("dataset_split", split).select(*df.columns, "dataset_split")
+    return null_safe_join(df, marked, [*by, product]).withColumn("dataset_split", split).select(*df.columns, "dataset_split")
 
 
 def require_products(df: DataFrame, minimum: int = 2, product: str = "product_id") -> None:
@@ -99,24 +100,6 @@ def split_inventory(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def quick_subset(
-    train: DataFrame, test: DataFrame, order: Sequence[str], max_products: int = 64,
-    max_rows: int = 512, history: int = 30,
-) -> tuple[DataFrame, DataFrame]:
-    """A small tuning subset: largest test products until 64 products or 512 rows.
-
-    At most ``max_products`` counts are ranked, by a top-k and not a full sort.
-    """
-    top = product_counts(test).orderBy(F.desc("series_rows"), "product_id").limit(max_products)
-    earlier = Window.orderBy(F.desc("series_rows"), "product_id").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = top.withColumn("_held", F.coalesce(F.sum("series_rows").over(earlier), F.lit(0))).filter(
-        F.col("_held") < max_rows
-    ).select("product_id")
-    small = F.broadcast(chosen)  # at most max_products ids
-    kept = last_rows(train.join(small, "product_id", "left_semi"), ["product_id"], order, history)
-    return kept, test.join(small, "product_id", "left_semi")
-
-
 def latest_per_model(files: DataFrame) -> DataFrame:
     """Newest dated file of each model; undated files only where a model has no dated one."""
     return files.groupBy("model").agg(

@@ -2,7 +2,7 @@
 
 * ``bucketed_row_number``: row numbers over an order, sorted bucket by bucket,
   so that no task sorts a whole group.
-* ``smallest_by_hash``: the exact n smallest hashes of each group.
+* ``null_safe_join``: a join that keeps groups whose key is null.
 * ``exact_percentiles``: interpolated percentiles without a buffer of all values.
 * ``chunk_series`` and ``over_series``: long series are cut into time chunks;
   a window of bounded width sees the last rows of the chunk before its own.
@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -41,7 +40,7 @@ def bucketed_row_number(
     """
     tagged = df.withColumn("_bucket", bucket.cast("long"))
     sizes = tagged.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
-    # The running sum walks buckets, not rows: at most HASH_BUCKETS per group.
+    # The running sum walks buckets, not rows: as many per group as ``bucket`` has values.
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         *by, "_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
@@ -67,14 +66,16 @@ def _match(left: DataFrame, keys: Sequence[str]) -> Column:
     return condition
 
 
-def smallest_by_hash(
-    df: DataFrame, by: Sequence[str], u: str, ident: str, limit: Column, rank_name: str = "hash_rank"
-) -> DataFrame:
-    """Rows whose rank by (``u``, ``ident``) within ``by`` is at most ``limit``."""
-    ranked = bucketed_row_number(
-        df, by, F.floor(F.col(u) * HASH_BUCKETS), [F.col(u), F.col(ident)], rank_name
-    )
-    return ranked.filter(F.col(rank_name) <= limit)
+def null_safe_join(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null: a group without a name is a group."""
+    keys = list(keys)
+    joined = df.join(_null_safe(side, keys), _match(df, keys), how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_k_{k}" for k in keys])
+
+
+def series_key(keys: Sequence[str]) -> Column:
+    """One non-null text per combination of key values, nulls included."""
+    return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
 
 
 def oversized(df: DataFrame, by: Sequence[str], limit: int) -> bool:
@@ -241,10 +242,6 @@ def over_series(
     return built.filter(~F.col("_halo")).drop("_halo", "_chunk")
 
 
-def salted_count(rows: int, per_task: int = CHUNK_ROWS) -> int:
-    return max(1, math.ceil(rows / per_task))
-
-
 def hash_cut(df: DataFrame, by: Sequence[str], u: str, ident: str, limits: DataFrame) -> DataFrame:
     """Per group, the (``u``, ``ident``) of the row at rank ``_limit``: columns _cut_u, _cut_id.
 
@@ -273,7 +270,7 @@ def join_small(df: DataFrame, small: DataFrame, by: Sequence[str], how: str = "i
         return df.join(F.broadcast(small), how=how) if how == "inner" else df.join(
             F.broadcast(small), F.lit(True), how
         )
-    return df.join(small, list(by), how)
+    return null_safe_join(df, small, by, how)
 
 
 def up_to_cut(u: str, ident: str) -> Column:
