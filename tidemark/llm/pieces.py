@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import shield, text_of
-from tidemark.llm.tokens import MEMO_WORDS, WordEncoder
+from tidemark.llm.tokens import WordEncoder
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-BATCH_ROWS = 2_000
+MEMO_WORDS = 150_000
+BATCH_ROWS = 500
 # Characters indexed at once, and the length from which a word takes the queue instead of the rounds.
-INDEX_CHARS, LONG_WORD = 400_000, 200
+INDEX_CHARS, LONG_WORD = 200_000, 200
 _UNITS = re.compile(" +[^ ]*")
 
 
@@ -115,17 +116,20 @@ class PieceEncoder(WordEncoder):
         plain = pc.replace_substring(texts, SPACE, " ")
         runs = pc.or_(pc.match_substring(plain, "  "), pc.or_(pc.starts_with(plain, " "), pc.ends_with(plain, " ")))
         lists = pc.split_pattern(pc.if_else(runs, pa.scalar("", plain.type), plain), " ")
-        odd = np.flatnonzero(np.asarray(runs))
-        empty = np.asarray(pc.equal(plain, ""))
-        if not len(odd) and not empty.any():
+        # Other texts are few: those with runs of spaces get their own lists, empty ones none.
+        odd, empty = np.asarray(runs), np.asarray(pc.equal(plain, ""))
+        if not odd.any() and not empty.any():
             return lists
-        rows = lists.to_pylist()
-        for i in np.flatnonzero(empty):
-            rows[i] = []
-        for i in odd:
-            units = _UNITS.findall(" " + plain[int(i)].as_py())
-            rows[i] = [u[1:] if u[1:2] != " " and len(u) > 1 else u for u in units]
-        return pa.array(rows, lists.type)
+        own = {int(i): self._units(plain[int(i)].as_py()) for i in np.flatnonzero(odd)} | {int(i): [] for i in np.flatnonzero(empty)}
+        parts, at = [], 0
+        for i in sorted(own):
+            parts += [lists.slice(at, i - at), pa.array([own[i]], lists.type)]
+            at = i + 1
+        return pa.concat_arrays([*parts, lists.slice(at)])
+
+    @staticmethod
+    def _units(text: str) -> list[str]:
+        return [u[1:] if u[1:2] != " " and len(u) > 1 else u for u in _UNITS.findall(" " + text)]
 
     def _learn(self, words: list[str]) -> None:
         lengths, ids = [], []

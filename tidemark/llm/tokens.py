@@ -26,8 +26,8 @@ TOKENIZER = "word_bpe_49k.json"
 # Texts longer than this many characters are encoded in overlapping chunks.
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 256
 # Distinct words a worker remembers; beyond, it forgets those met in one batch only. Results do not depend on it.
-MEMO_WORDS = 300_000
-BATCH_ROWS = 1_000
+MEMO_WORDS = 200_000
+BATCH_ROWS = 500
 SPACES = " \t\n\x0b\x0c\r"
 
 
