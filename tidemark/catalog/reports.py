@@ -229,7 +229,7 @@ wp AS (SELECT *, row_number() OVER (PARTITION BY mh, scope_kind, scope_id ORDER
 
 _winners("combined_f1", None)
 _winners("rank_score", None)
-_winners("combined_recall", "combined_f1")
+_winners("combined_recall", "combined_precision")
 
 
 @query("type_summary_of_chosen", with_sql(*SCORED, """tw AS (SELECT detector, anomaly_type, dataset_split, count(*) AS n, count(*) FILTER (predicted) AS hit FROM preds

@@ -69,27 +69,39 @@ def classifier_inputs(df: DataFrame) -> DataFrame:
 def cross_competitor_agreement(
     changes: DataFrame, product: str = "ean", competitor: str = "competitor_id", change: str = "change_pct"
 ) -> DataFrame:
-    """Share of a product's other sellers whose change has the same sign and over half the size.
+    """Share of a product's rows of other sellers whose change has the same sign and over half the size.
 
     Counted by a range window over the logarithm of the size, so no seller
-    pairs are formed; sizes up to .0005 agree with nobody.
+    pairs are formed; a seller's own rows are counted by a second window and
+    taken off. Sizes up to .0005 agree with nobody. A row without a product code
+    (null or blank) has no agreement, and is not matched with other such rows.
     """
-    sellers = changes.groupBy(product).agg(F.count(F.lit(1)).alias("_sellers"))
+    named = F.trim(F.coalesce(F.col(product).cast("string"), F.lit(""))) != ""
     size = F.abs(F.col(change))
-    live = size > 0.0005
+    live = F.coalesce(size > 0.0005, F.lit(False))
+    # Rows without a code are dealt by hash: they are in no one's group.
+    loose = F.when(named, F.lit(None)).otherwise(F.xxhash64(competitor, change))
+    counted = changes.withColumns({
+        "_size": size, "_sign": F.signum(change), "_live": live, "_named": named, "_loose": loose,
+    })
     # Just under one octave either way: half the size itself does not agree.
-    counted = changes.withColumns({"_size": size, "_sign": F.signum(change), "_live": live})
-    similar = F.expr(
-        f"count(1) OVER (PARTITION BY {product}, _sign, _live ORDER BY log2(_size)"
-        " RANGE BETWEEN 0.999999999D PRECEDING AND 0.999999999D FOLLOWING)"
+    def near(*by: str) -> str:
+        return (
+            f"count(1) OVER (PARTITION BY {', '.join(by)}, _sign, _live ORDER BY log2(_size)"
+            " RANGE BETWEEN 0.999999999D PRECEDING AND 0.999999999D FOLLOWING)"
+        )
+
+    own = counted.withColumn("_alike", F.expr(near(product, "_loose")) - F.expr(near(product, "_loose", competitor)))
+    per_seller = changes.filter(named).groupBy(product, competitor).agg(F.count(F.lit(1)).alias("_own"))
+    per_product = per_seller.groupBy(product).agg(F.sum("_own").alias("_rows"))
+    sizes = join_small(per_seller, per_product, [product]).select(
+        product, competitor, (F.col("_rows") - F.col("_own")).alias("_others")
     )
-    changes = counted.withColumn("_found", F.when(F.col("_live"), similar - 1).otherwise(0))
-    changes = changes.drop("_size", "_sign", "_live").withColumnRenamed("_found", "_similar")
-    out = join_small(changes, sellers, [product])
+    out = join_small(own, sizes, [product, competitor], "left")
     return out.withColumn(
         "cross_competitor_agreement",
-        F.when(F.col("_sellers") > 1, F.col("_similar") / (F.col("_sellers") - 1)),
-    ).drop("_similar", "_sellers")
+        F.when(F.col("_named") & (F.col("_others") > 0), F.when(F.col("_live"), F.col("_alike")).otherwise(0) / F.col("_others")),
+    ).select(*changes.columns, "cross_competitor_agreement")
 
 
 def train_classifier(df: DataFrame, label: str = "label", features: Sequence[str] = tuple(INPUTS)):

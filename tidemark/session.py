@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import pathlib
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,13 +31,19 @@ def local_session(name: str = "tidemark", cores: str = "8", shuffle_partitions:
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint folder.
 
-    Only where the session names none (a local test) a temporary one is set.
+    Where the session names none, a local session gets a temporary folder, which
+    is removed at the end; a cluster must name one, since a folder of one machine
+    would hold only a part of what is written.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
