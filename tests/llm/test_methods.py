@@ -389,8 +389,9 @@ def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    unseen = docs.join(labels.filter((half == 1) & (F.col("quality") == 1)).select("doc_id", "toxic"), "doc_id")
-    judged = toxicity.judge(unseen.select("doc_id", "text", "toxic"), labels.filter(half == 0)).groupBy("toxic", "rejected").count().collect()
+    chain = toxicity.train(docs, labels.filter(half == 0), toxicity.standard_categories())
+    unseen = docs.select("doc_id", "text").join(labels.filter((half == 1) & (F.col("quality") == 1)).select("doc_id", "toxic"), "doc_id")
+    judged = toxicity.score(unseen, chain).groupBy("toxic", (F.col("p_toxic") >= chain.cuts[1]).alias("rejected")).count().collect()
     n = {(r.toxic, bool(r.rejected)): r["count"] for r in judged}
     assert n[1, True] / (n[1, True] + n[1, False]) > 0.85
     assert n.get((0, True), 0) / (n[0, False] + n.get((0, True), 0)) < 0.015
