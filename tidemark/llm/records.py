@@ -28,7 +28,7 @@ from tidemark.session import scratch_path
 POLYNOMIAL, MASK_ADD = 0x82F63B78, 0xA282EAD8
 HEAD, TAIL = 12, 4
 LANE = 512
-READ_BYTES = 8 << 20
+READ_BYTES = 1 << 20
 
 
 def _byte_table() -> np.ndarray:
@@ -201,49 +201,56 @@ def write_records(docs: DataFrame, folder: str, name: str = TOKENIZER, end_id: i
     return docs.sparkSession.read.parquet(folder + "/index")
 
 
+def _segments(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(row numbers, payloads) of the records of an index batch, a bounded piece of a file at a time."""
+    files, width = np.asarray(batch.column("file").to_pylist(), object), batch.column("width").to_numpy()
+    begin, size = batch.column("offset").to_numpy(), batch.column("length").to_numpy()
+    end = begin + size + HEAD + TAIL
+    for file in sorted(set(files)):
+        mine = np.flatnonzero(files == file)
+        mine = mine[np.argsort(begin[mine], kind="stable")]
+        system, path = _open(file)
+        with system.open_input_file(path) as source:
+            i = 0
+            while i < len(mine):
+                j = i + 1
+                while j < len(mine) and end[mine[j]] - begin[mine[i]] <= READ_BYTES and begin[mine[j]] >= end[mine[j - 1]]:
+                    j += 1
+                rows = mine[i:j]
+                data = np.frombuffer(source.read_at(int(end[rows[-1]] - begin[rows[0]]), int(begin[rows[0]])), np.uint8)
+                found = unframe(data, begin[rows] - begin[rows[0]], size[rows], file)
+                yield rows, [p.view(f"<u{width[r]}") for r, p in zip(rows, found, strict=True)]
+                i = j
+
+
 def read_records(index: DataFrame) -> DataFrame:
     """The records of ``index``: its columns and ``ids``, checked against length and checksums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = batch.to_pandas().sort_values(["file", "offset"], kind="stable")
-            for file, rows in table.groupby("file", sort=True):
-                system, path = _open(file)
-                with system.open_input_file(path) as source:
-                    begin, size = rows["offset"].to_numpy(), rows["length"].to_numpy()
-                    end = begin + size + HEAD + TAIL
-                    i = 0
-                    while i < len(rows):
-                        j = i + 1
-                        while j < len(rows) and end[j] - begin[i] <= READ_BYTES and begin[j] >= end[j - 1]:
-                            j += 1
-                        data = np.frombuffer(source.read_at(int(end[j - 1] - begin[i]), int(begin[i])), np.uint8)
-                        found = unframe(data, begin[i:j] - begin[i], size[i:j], file)
-                        part = rows.iloc[i:j]
-                        ids = [p.view(f"<u{w}").astype(np.int64) for p, w in zip(found, part["width"], strict=True)]
-                        yield pa.RecordBatch.from_pandas(
-                            part.assign(ids=ids), schema=batch.schema.append(pa.field("ids", pa.list_(pa.int64()))), preserve_index=False
-                        )
-                        i = j
+            for rows, ids in _segments(batch):
+                part = batch.take(pa.array(rows))
+                lists = pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
 
     return index.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema) + ", ids array<bigint>")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("ids")
-        values, bounds = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-        crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("part"), batch.column("start_in_part"),
-             pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())],
-            ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"],
-        )
+        for rows, ids in _segments(batch):
+            part = batch.take(pa.array(rows))
+            crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("part"), part.column("start_in_part"),
+                 pa.array([len(x) for x in ids], pa.int64()), pa.array(crc, pa.int64())],
+                ["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"],
+            )
 
 
 def record_digests(index: DataFrame) -> DataFrame:
     """Per document, from the files: ids before it over all files, number of ids and checksum of them."""
-    read = read_records(index).mapInArrow(_digests, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
+    read = index.mapInArrow(_digests, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
     # One row per file: as many as partitions were asked for.
     totals = index.groupBy("part").agg(F.sum(F.col("length") / F.col("width")).cast("long").alias("_size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
