@@ -64,12 +64,14 @@ def coarse_grid(family: str) -> list[dict[str, float]]:
 
 
 def refined_values(family: str, parameter: str, centre: float) -> list[float]:
-    """Values within the radius of ``centre`` by the step, clipped to the bounds, distinct."""
+    """The values one radius around ``centre``, in steps, that lie in the bounds; at the edge the bound itself.
+
+    Counted in whole thousandths, the precision of candidate ids.
+    """
     s = FAMILIES[family][parameter]
-    low, high = s["bounds"]
-    count = int(round(2 * s["radius"] / s["step"])) if s["radius"] else 0
-    raw = [centre - s["radius"] + i * s["step"] for i in range(count + 1)]
-    return sorted({round(min(max(v, low), high) + 1e-12, 3) for v in raw})
+    middle, radius, step, low, high = (round(1000 * v) for v in (centre, s["radius"], s["step"], *s["bounds"]))
+    around = range(middle - radius, middle + radius + 1, step)
+    return sorted({min(max(v, low), high) / 1000 for v in around})
 
 
 def refined_grid(family: str, best: dict[str, float]) -> list[dict[str, float]]:
