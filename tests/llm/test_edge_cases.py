@@ -115,6 +115,19 @@ def test_operators_that_return_documents_keep_their_columns(docs, labels):
     assert sorted({x for x in kept if x in (103, 105, 108, 109, 110)}) == [103, 108, 110] and None in kept
 
 
+def test_unlike_texts_without_an_id_or_under_one_id_all_stay(spark):
+    near = prose(5, 100)
+    given = [(None, prose(i, 40)) for i in range(6)] + [(7, prose(20, 40)), (7, prose(21, 40)), (8, prose(22, 40)), (None, prose(22, 40))]
+    given += [(9, near), (9, near + " tail"), (None, prose(30, 40)), (None, prose(30, 40))]
+    frame = spark.createDataFrame([(*r, "en", "s", None) for r in given], SCHEMA).repartition(3)
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in bagminhash.drop_near_duplicates(frame).collect())
+    plain = [(str(i), t) for i, t in given[:9]] + [("None", prose(30, 40))]
+    assert [r for r in kept if r[0] != "9"] == sorted(plain)
+    assert len([r for r in kept if r[0] == "9"]) == 1
+    classes = bagminhash.duplicate_classes(frame)
+    assert classes.select("root").distinct().count() == 11
+
+
 def test_labels_may_be_missing(spark, docs):
     none = spark.createDataFrame([], "doc_id LONG, quality INT, toxic INT")
     assert toxicity.judge(docs, none).filter("rejected").count() == 0

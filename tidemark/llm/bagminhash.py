@@ -294,7 +294,9 @@ def duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
     the texts of a link share a band. Equal texts are one node from the start,
     however many there are. Texts without words are alike only if equal; one to
     four words are a single shingle. Null text is empty. A class without any
-    doc_id has a null class_id. Repeated rows give repeated results; extra
+    doc_id has a null class_id. Where ids are null or repeated, unlike classes
+    can have one class_id: ``root``, the smallest text hash of the class, tells
+    them apart. Repeated rows give repeated results; extra
     columns are not returned; texts are read whole; no rows give no rows.
     """
     node = F.xxhash64(F.sha2(text_of(), 256))
@@ -315,16 +317,21 @@ def duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
     rooted = components(bucket_links(members, texts, sketches, threshold))
     named = nodes.select("node", "first_id").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    classes = persist_table(named.join(heads, "root").select("node", "class_id"), "classes")
-    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "node")
+    classes = persist_table(named.join(heads, "root").select("node", "class_id", "root"), "classes")
+    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "class_id", "node", "root")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One row of ``docs`` for each class: that of the smallest doc_id (any, where that is repeated)."""
+    """One row of ``docs`` for each class: that of the smallest doc_id, null last, then of the smallest text hash.
+
+    Rows equal in both are one text under one id, of which any stays.
+    """
     columns, docs = docs.columns, shield(docs)
     classes = duplicate_classes(docs, threshold)
-    heads = classes.groupBy("class_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("class_id")), F.col("node"))).alias("_node"))
+    heads = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("_head")).select(
+        F.col("_head.node").alias("_node"), F.col("_head.doc_id").alias("_id")
+    )
     keyed = docs.withColumn("_text", F.xxhash64(F.sha2(text_of(), 256)))
-    kept = keyed.join(heads, (F.col("_text") == F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("class_id")))
-    one = Window.partitionBy("_text", "class_id").orderBy(*[F.col(c) for c in docs.columns if c in ("doc_id", "source", "lang")])
+    kept = keyed.join(heads, (F.col("_text") == F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    one = Window.partitionBy("_text").orderBy(*[F.col(c) for c in docs.columns if c in ("doc_id", "source", "lang")])
     return kept.withColumn("_i", F.row_number().over(one)).filter("_i = 1").select(*docs.columns).toDF(*columns)

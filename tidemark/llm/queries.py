@@ -68,7 +68,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_bagminhash")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bagminhash.duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return bagminhash.duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("root").alias("class_root"))
 
 
 @query("op10_toxicity_chain")
