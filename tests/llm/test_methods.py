@@ -378,6 +378,36 @@ def test_line_dedup_equals_plain_search(spark, docs, texts):
     assert {r.doc_id: r.text for r in linededup.delete_repeats(frame).collect()} == plain_cut(every)
 
 
+def cut_by_all_earlier_runs(texts, least=50):
+    """Every run of at least ``least`` words that is equal to any run at an earlier place."""
+    lines = {i: [(n, x) for n, x in enumerate(t.split("\n")) if x.encode().split()] for i, t in texts.items()}
+    places = [(i, a) for i in sorted(texts) for a in range(len(lines[i]))]
+    gone = {i: set() for i in texts}
+    for n, (i, a) in enumerate(places):
+        long = 0
+        for j, c in places[:n]:
+            k = 0
+            while a + k < len(lines[i]) and c + k < len(lines[j]) and lines[i][a + k][1] == lines[j][c + k][1]:
+                k += 1
+            long = max(long, k)
+        if long and sum(len(x.encode().split()) for _, x in lines[i][a : a + long]) >= least:
+            gone[i].update(range(lines[i][a][0], lines[i][a + long - 1][0] + 1))
+    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
+
+
+def test_line_dedup_finds_runs_equal_to_any_earlier_run(spark):
+    rng = random.Random(4)
+    line = lambda k, n: " ".join(f"q{k}w{j}" for j in range(n))
+    p, q, other = line(0, 60), line(1, 10), line(2, 60)
+    every = {1: f"{p}\n{other}", 2: f"{p}\n{q}", 3: f"{p}\n{q}", 4: f"{q}\n{p}", 5: f"tail\n{q}\n{p}"}
+    pool = [line(10 + k, rng.choice([1, 3, 10, 30, 60])) for k in range(12)]
+    every |= {100 + i: "\n".join(rng.choice([*pool, ""]) for _ in range(rng.randint(0, 12))) for i in range(120)}
+    frame = spark.createDataFrame(list(every.items()), "doc_id LONG, text STRING").repartition(4)
+    found = {r.doc_id: r.text for r in linededup.delete_repeats(frame).collect()}
+    assert found[3] == "" and found[5] == "tail"
+    assert found == cut_by_all_earlier_runs(every)
+
+
 def test_window_minima_are_rightmost():
     found = linededup.window_minima([5, 3, 3, 9], [10, 10, 10, 10], 30)
     assert [(i, n, least) for i, n, least, _ in found] == [(0, 3, 3), (1, 3, 3)]

@@ -1,11 +1,13 @@
 """Deleting passages of whole lines that occurred before, by winnowing over line hashes.
 
 From every line on, the shortest run of lines with ``min_words`` words is a
-window. Its smallest line hash, the rightmost of equal ones, is its fingerprint,
-kept with the hash of the window, since a short line alone may stand anywhere.
-Two texts that share ``min_words`` words of consecutive whole lines share a
-window and so a fingerprint. Fingerprints are joined with their first occurrence,
-matches are extended line by line both ways, and the later run is deleted.
+window. Its smallest line hash is its fingerprint, kept with the hash of the
+window, since a short line alone may stand anywhere. A window is also prolonged
+line by line up to where the next window ends, each such run with a fingerprint
+of its own. Take any run i to j of ``min_words`` words that occurred before: the
+windows from i on that end by j, and the last of them prolonged to j, occurred
+before too and cover it. So a run is deleted where its own fingerprint has an
+earlier place, whichever that is; no match needs to be extended.
 """
 
 from __future__ import annotations
@@ -41,7 +43,11 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def window_minima(hashes: list[int], counts: list[int], min_words: int) -> list[tuple[int, int, int, int]]:
-    """(first line, lines, smallest line hash, window hash) of every window of one text."""
+    """(first line, lines, smallest line hash, run hash) of every window of one text and of its longer runs.
+
+    A window is prolonged up to where the next one ends; where there is no next
+    one, to the end of the text. Runs number at most twice the lines.
+    """
     out = []
     values = np.array(hashes, np.int64)
     upto = np.cumsum([0, *counts])
@@ -49,9 +55,10 @@ def window_minima(hashes: list[int], counts: list[int], min_words: int) -> list[
     for i, e in enumerate(ends):
         if e > len(hashes):
             break
-        part = values[i:e]
-        least = part[::-1].argmin()  # rightmost of equal minima
-        out.append((i, int(e - i), int(part[len(part) - 1 - least]), xxhash.xxh3_64_intdigest(part.tobytes()) - (1 << 63)))
+        least = int(values[i:e].min())
+        for k in range(e, max(e + 1, min(ends[i + 1] if i + 1 < len(ends) else 0, len(hashes) + 1))):
+            least = min(least, int(values[k - 1]))
+            out.append((i, int(k - i), least, xxhash.xxh3_64_intdigest(values[i:k].tobytes()) - (1 << 63)))
     return out
 
 
@@ -72,18 +79,6 @@ def _window_rows(min_words: int):
     return run
 
 
-def _same(own: str, other: str, at: Column, at_other: Column, step: int) -> Column:
-    """Number of equal lines from two places on, forwards or backwards."""
-    room = (
-        F.least(F.size(own) - at, F.size(other) - at_other) if step > 0 else F.least(at, at_other) + 1
-    )
-    steps = F.when(room > 0, F.sequence(F.lit(0), room - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda n, t: F.when((n == t) & (F.get(F.col(own), at + t * step) == F.get(F.col(other), at_other + t * step)), n + 1).otherwise(n),
-    )
-
-
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``doc`` (id, hash of the text) and ``runs``: (first, end) of the lines to delete, blank lines not counted."""
     rows = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("h")).alias("doc"), text_of().alias("text"))
@@ -91,7 +86,6 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = persist_table(
         rows.mapInArrow(_line_rows, f"doc {kind}, hashes array<bigint>, counts array<int>"), "line-hashes"
     )
-    lines = lines.withColumn("key", key_of("doc"))
     windows = persist_table(
         lines.select("doc", "hashes", "counts").mapInArrow(
             _window_rows(min_words), f"doc {kind}, line int, lines int, least bigint, window bigint"
@@ -100,28 +94,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     place = F.struct("doc", "line")
     first = windows.groupBy("least", "window").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first != _last")
     matches = windows.join(first, ["least", "window"]).filter(place != F.col("_first")).select(
-        key_of("doc").alias("key"), "line", "lines", key_of("_first.doc").alias("other"), F.col("_first.line").alias("other_line"),
-    ).distinct()
-    # Within a run of matches only the ends can grow.
-    along = Window.partitionBy("key").orderBy("line")
-    shift = F.struct("other", (F.col("other_line") - F.col("line")).alias("by"))
-    marked = matches.withColumn("_shift", shift).withColumn(
-        "_opens", ~F.coalesce((F.lag("_shift").over(along) == F.col("_shift")) & (F.lag("line").over(along) == F.col("line") - 1), F.lit(False))
-    ).withColumn(
-        "_closes", ~F.coalesce((F.lead("_shift").over(along) == F.col("_shift")) & (F.lead("line").over(along) == F.col("line") + 1), F.lit(False))
+        key_of("doc").alias("key"), F.col("line").alias("first"), (F.col("line") + F.col("lines")).alias("end"),
     )
-    marked = persist_table(marked.drop("_shift"), "line-matches")
-    edges = marked.filter(F.col("_opens") | F.col("_closes"))
-    # Repeated rows are one document here.
-    arrays = lines.groupBy("key").agg(F.first("hashes").alias("_own"))
-    others = arrays.select(F.col("key").alias("other"), F.col("_own").alias("_theirs"))
-    grown = edges.join(arrays, "key").join(others, "other").select(
-        "key", "line", "lines",
-        F.when(F.col("_closes"), _same("_own", "_theirs", F.col("line") + F.col("lines"), F.col("other_line") + F.col("lines"), 1)).otherwise(0).alias("_after"),
-        F.when(F.col("_opens"), _same("_own", "_theirs", F.col("line") - 1, F.col("other_line") - 1, -1)).otherwise(0).alias("_ahead"),
-    ).select("key", (F.col("line") - F.col("_ahead")).alias("first"), (F.col("line") + F.col("lines") + F.col("_after")).alias("end"))
-    inner = marked.filter(~F.col("_opens") & ~F.col("_closes")).select("key", F.col("line").alias("first"), (F.col("line") + F.col("lines")).alias("end"))
-    return grown.union(inner).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("runs"))
+    return matches.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("runs"))
 
 
 def _cut(text: str, runs: list) -> tuple[str, int, int]:
