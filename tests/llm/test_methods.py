@@ -247,6 +247,20 @@ def test_trees_add_lookalikes_and_leave_other_numbers(spark):
     assert redacted[0].startswith("please call [phone] about item") and redacted[0].endswith("mail [email]")
 
 
+def test_national_phones_and_spelt_addresses_are_added(spark):
+    rng = random.Random(3)
+    n = lambda k: str(rng.randint(10 ** (k - 1), 10**k - 1))
+    rows = []
+    for i in range(300):
+        rows.append((i, f"see +1 ({n(3)}) {n(3)}-{n(4)} and me{i}@site{i % 9}.example.org on 2021-0{i % 9 + 1}-1{i % 9} item {n(4)}:{n(3)}:{n(4)}"))
+        # As many without a base span: a reading of them as negatives would refuse what follows.
+        rows.append((1000 + i, f"see ({n(3)}) {n(3)}-{n(4)} and {n(3)}-{n(3)}-{n(4)} or me{i} (at) site{i % 9} (dot) org"))
+    text = "so ask (456) 555-2186 or 555-218-6412 or joe (at) site (dot) org, since 2021-03-14, for 5555:444:3333"
+    frame = spark.createDataFrame([*rows, (5000, text)], "doc_id LONG, text STRING")
+    got = pii.find_personal_data(frame, pii.train(frame)).filter("doc_id = 5000").first()
+    assert [text[x.start : x.end] for x in got.added] == ["(456) 555-2186", "555-218-6412", "joe (at) site (dot) org"]
+
+
 # 6: near duplicates
 
 def test_registers_are_unbiased():
