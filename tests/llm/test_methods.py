@@ -198,6 +198,24 @@ def test_crc32c_known_answers():
 
 # 5: personal data
 
+def test_outliers_of_one_statistic_alone_go(spark):
+    rng = np.random.default_rng(2)
+    word = lambda low=2, high=9: "".join(rng.choice(list("abcdeorst"), rng.integers(low, high)))
+    lines = lambda n, **k: [" ".join(word(**k) for _ in range(10)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(rng.integers(8, 20)))) for i in range(400)]
+    again = lines(1)
+    planted = {
+        "length": lines(900), "words": lines(14, low=14, high=24), "symbols": [x.replace(" ", " $ ", 4) for x in lines(14)],
+        "lines": [x for y in lines(14) for x in (y, "more")], "repeats": [x for k, y in enumerate(lines(13)) for x in ((y, f"{again[0]} {word()}") if k in (3, 6, 9) else (y,))],
+    }
+    rows += [(1000 + k, "\n".join(x)) for k, x in enumerate(planted.values())]
+    frame = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id LONG, text STRING, lang STRING, source STRING")
+    got = {r.doc_id: r for r in outliers.judge(frame).collect()}
+    assert not any(got[1000 + k].base_failed for k in range(len(planted)))
+    assert [name for k, name in enumerate(planted) if got[1000 + k].kept] == []
+    assert sum(not got[i].kept for i in range(400)) <= 4
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

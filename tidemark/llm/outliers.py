@@ -20,11 +20,11 @@ FEATURES = ["f_length", "f_word", "f_symbol", "f_line", "f_repeat"]
 DIMS = len(FEATURES)
 # Features are whole multiples of 1 / GRID, so that sums are exact and do not depend on their order.
 GRID = 4096
-# Spread below which differences of a feature count as noise: added to every covariance.
-FLOOR = [0.25, 0.05, 0.5, 0.5, 0.5]
-# Quantiles of the chi-squared distribution with five degrees of freedom.
-CHI2_HALF = 4.3515
-CHI2_CUT = 33.11  # 1 - 3.6e-6
+# Spread below which differences of a feature count as noise: added to every covariance. Each of the three shares
+# alone can pass the cut: half of all lines duplicate are 7.2 floors, a fifth of the words repeated 7.3.
+FLOOR = [0.25, 0.05, 0.2, 0.25, 0.15]
+# The 0.999 quantile of the chi-squared distribution with five degrees of freedom.
+CHI2_CUT = 20.515
 # Bins of a distance: BIN_STEP per unit of ln(1 + d), the last one open.
 BIN_STEP, BIN_LAST = 48, 1200
 
@@ -184,8 +184,9 @@ def judge(
     """Counts, ``base_failed``, squared ``distance`` and ``kept`` per row of ``docs``.
 
     ``share`` of a group's vectors enter the estimate (rounded up to a whole bin
-    of distances about two per cent wide). Distances are scaled so that their
-    median is that of the chi-squared distribution; above ``cut`` a document is
+    of distances about two per cent wide). Distances are scaled, up or down, so
+    that their median is the one expected of features that vary as much as the
+    group's do; above ``cut`` a document is
     rejected. Rows that fail a base rule take no part in estimates and have no
     distance. Groups with fewer than ``min_group`` rows use their language's
     estimate, or that of all rows.
@@ -210,7 +211,14 @@ def judge(
     middle = counts.withColumn("_upto", F.sum("n").over(along)).withColumn(
         "_all", F.sum("n").over(Window.partitionBy("grp"))
     ).filter(F.col("_upto") * 2 >= F.col("_all")).groupBy("grp").agg(F.min("_bin").alias("_bin"))
-    scale = middle.select("grp", F.greatest(F.expm1((F.col("_bin") + 0.5) / BIN_STEP) / CHI2_HALF, F.lit(1.0)).alias("_scale"))
+    # A feature counts by the part of its variance that is not the floor; the median of such a weighted sum of squares
+    # is that of a scaled chi-squared distribution with the same mean and variance.
+    parts = [F.greatest(1 - FLOOR[i] ** 2 / F.col("cov")[i * (i + 3) // 2], F.lit(0.0)) for i in range(DIMS)]
+    total, squares = sum(parts), sum(x * x for x in parts)
+    usual = F.when(total > 0.05, total * F.pow(1 - 2 * squares / (9 * total * total), 3))
+    scale = middle.join(params.select("grp", usual.alias("_usual")), "grp").select(
+        "grp", F.coalesce(F.expm1((F.col("_bin") + 0.5) / BIN_STEP) / F.col("_usual"), F.lit(1.0)).alias("_scale")
+    )
     final = persist_table(_cholesky(params).join(scale, "grp"), "mcd-estimate")
     scored = join_parameters(rows, final, "grp", "left").withColumn(
         "distance", F.when(~F.col("base_failed"), F.round(_distance() / F.col("_scale"), 4))
