@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bagminhash, linededup, mixing, outliers, pieces, pii, records, tokens, toxicity, winnowing
+from tidemark.llm import (
+    bagminhash, crosspolytope, linededup, mixing, outliers, pieces, pii, records, tokens, toxicity, variants, whitening, winnowing,
+)
 from tidemark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,3 +87,18 @@ def piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_personal_data")
 def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_spelling_variants")
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_cross_polytope")
+def cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
