@@ -7,8 +7,8 @@ columns Q is multiplied by V in a pass over the rows, each task giving the sum o
 three-term recurrence, one pass a step, damps the unwanted part of the spectrum;
 then QR and Rayleigh-Ritz. A short Lanczos run gives the lower end of the
 spectrum, the block's smallest Ritz value the upper end of what is damped. It
-ends when residuals are at rounding level and stay there after the guard columns
-were drawn anew, so that no larger eigenvalue was missed.
+ends when residuals are below ``RESIDUAL`` and so again after a round with guard
+columns drawn anew, so that no larger eigenvalue was missed.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import shield
 from tidemark.llm.vectors import complete, matrix, of_common_length
-from tidemark.session import persist_table, ship_package, spread
+from tidemark.session import persist_table, ship_package
 
 SCALE = 256
 COMPONENTS, GUARD = 4, 20
-DEGREE, LANCZOS_STEPS, MAX_ROUNDS = 10, 10, 60
+DEGREE, LANCZOS_STEPS, MAX_ROUNDS = 12, 6, 100
+# The largest eigenvalue must not grow so much more in a filter than the last wanted one that rounding hides the latter.
+LEAD = np.log(1e7)
 # Residuals are certified against the largest eigenvalue; smaller eigenvalues than NOTHING times it count as zero.
 RESIDUAL, NOTHING = 1e-12, 1e-12
 _LOW = (1 << 32) - 1
@@ -135,7 +137,7 @@ def leading(times: Callable[[np.ndarray], np.ndarray], d: int, components: int,
     rng = np.random.default_rng(seed)
     width = min(d, components + GUARD)
     low = lower_end(times, d, LANCZOS_STEPS, rng) if width < d else 0.0
-    block, renewed, last = rng.standard_normal((d, width)), False, np.inf
+    block, renewed = rng.standard_normal((d, width)), False
     for turn in range(MAX_ROUNDS):
         q, _ = np.linalg.qr(block)
         image = times(q)
@@ -148,24 +150,23 @@ def leading(times: Callable[[np.ndarray], np.ndarray], d: int, components: int,
         if width == d or top == 0.0:
             return values[:components], q[:, :components]
         if misses <= RESIDUAL * top:
-            # Converged twice, the second time with other guards, and no further gain: done.
-            if renewed and misses > last / 2:
+            if renewed:
                 return values[:components], q[:, :components]
-            if not renewed:
-                q[:, components:], renewed = rng.standard_normal((d, width - components)), True
-                q, _ = np.linalg.qr(q)
-        last = misses
+            q[:, components:], renewed = rng.standard_normal((d, width - components)), True
+            q, _ = np.linalg.qr(q)
         high = float(values[-1])
-        if high - low > 1e-6 * top:
-            block = filtered(times, q, low, high, top, DEGREE)
-        else:
+        if high - low <= 1e-6 * top:
             block = image
+            continue
+        grown = np.arccosh(np.maximum((values[[0, components - 1]] - (low + high) / 2) / ((high - low) / 2), 1.0))
+        degree = int(np.clip(LEAD / max(grown[0] - grown[1], 1e-9), 2, DEGREE))
+        block = filtered(times, q, low, high, top, degree)
     raise ArithmeticError(f"residual {misses / top:.1e} of the largest eigenvalue after {turn + 1} rounds")
 
 
 def fit(rows: DataFrame, components: int = COMPONENTS) -> Fit | None:
     """Eigenpairs of the covariance of the distinct ``x`` of ``rows``; None without rows."""
-    distinct = persist_table(spread(rows.select("x").distinct()), "distinct-vectors")
+    distinct = persist_table(rows.select("x").distinct(), "distinct-vectors")
     head = distinct.first()
     if head is None:
         return None
