@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
-from tidemark.catalog.base import OBS, ORDER, SERIES, event_observations, query, rounded, stored, with_sql
+from tidemark.catalog.base import (
+    OBS, ORDER, SERIES, event_observations, observations, query, rounded, stored, with_sql,
+)
 from tidemark.catalog.evaluation import observation_table, scored_base
 from tidemark.catalog.features import ROLL, TREE
+from tidemark.catalog.scoring import fold_select, fold_sql, folded
 from tidemark.operators import cascade as C
 from tidemark.operators import cutforest as R
+from tidemark.operators import detectors as D
 from tidemark.operators import features as X
 from tidemark.operators import forest as T
 from tidemark.operators import metrics as M
 from tidemark.operators import reconstruction as E
+from tidemark.operators import rules as G
+from tidemark.plans.skew import join_small
 
 
 def feature_table(spark, d):
@@ -37,15 +44,77 @@ def injected_features(spark, d):
 OPTIONS = {"trees": 50, "sample": 256, "max_features": 0.75}
 
 
+def country_trees(spark, d):
+    return stored(spark, d, "country-trees", lambda s, p: T.fit_forest(X.trainable(feature_table(s, p)), ["country"], **OPTIONS))
+
+
+def country_limits(spark, d):
+    def build(s, p):
+        return T.calibrate(T.score_forest(X.trainable(feature_table(s, p)), ["country"], country_trees(s, p)), ["country"])
+
+    return stored(spark, d, "country-limits", build)
+
+
 def country_forest(spark, d):
+    """Injected rows with the score of their country's forest."""
     def build(s, p):
-        train = X.trainable(feature_table(s, p))
-        out, _, _ = T.train_and_score(train, injected_features(s, p), ["country"], **OPTIONS)
-        return out
+        raw = T.score_forest(injected_features(s, p), ["country"], country_trees(s, p), name="_raw")
+        scored = join_small(raw, country_limits(s, p), ["country"], "left")
+        return scored.withColumn("forest_score", T.normalized(F.col("_raw"))).drop("_raw", "score_low", "score_high")
 
     return stored(spark, d, "country-forest", build)
 
 
+# A small forest given as a table, so that SQL can walk it too: inputs by their place in TREE_FEATURES, -1 is a leaf.
+FIXED_TREES = [
+    (0, [8, -1, 9, -1, -1], [1.537, 0.0, 0.313, 0.0, 0.0], [1, -1, 3, -1, -1], [2, -1, 4, -1, -1], [0.0, 5.0, 0.0, 3.0, 1.0], None, 8),
+    (1, [10, 10, -1, -1, -1], [1.413, 0.587, 0.0, 0.0, 0.0], [1, 3, -1, -1, -1], [2, 4, -1, -1, -1], [0.0, 0.0, 1.2, 1.5, 6.0], None, 8),
+    (2, [8, -1, -1], [-1.537, 0.0, 0.0], [1, -1, -1], [2, -1, -1], [0.0, 1.4, 5.5], None, 8),
+]
+FIXED_LOW, FIXED_HIGH = 0.3, 0.9
+_Z, _C, _M = ("CASE WHEN n >= 3 THEN coalesce(z, 0.0) ELSE 0.0 END", "CASE WHEN n >= 3 THEN coalesce(c, 0.0) ELSE 0.0 END",
+              "CASE WHEN n < 3 THEN 0.0 WHEN m > 0 THEN p / m ELSE 1.0 END")
+_PATHS = f"""(CASE WHEN {_Z} <= 1.537 THEN 5.0 WHEN {_C} <= 0.313 THEN 3.0 ELSE 1.0 END
+  + CASE WHEN {_M} > 1.413 THEN 1.2 WHEN {_M} <= 0.587 THEN 1.5 ELSE 6.0 END + CASE WHEN {_Z} <= -1.537 THEN 1.4 ELSE 5.5 END)::DOUBLE"""
+_FIXED = f"least(greatest((pow(2.0::DOUBLE, -({_PATHS}) / 3 / {T.average_path(8)!r}::DOUBLE) - 0.3::DOUBLE) / 0.6::DOUBLE, 0.0), 1.0)"
+
+
+@query("gated_tree_table", with_sql(OBS, fold_sql(", ".join(SERIES), "obs_id", "SELECT * FROM obs", f"{_FIXED} >= 0.5", _FIXED,
+    f"CASE WHEN {_FIXED} >= 0.9 THEN 'critical' WHEN {_FIXED} >= 0.8 THEN 'high' WHEN {_FIXED} >= 0.7 THEN 'medium' ELSE 'low' END"),
+    body=fold_select("obs_id"), recursive=True))
+def gated_tree_table(spark, d):
+    """A forest given as a table, scoring inside the fold."""
+    trees = spark.createDataFrame(FIXED_TREES, ST.StructType([ST.StructField("tree", ST.IntegerType()), *T.TREE_FIELDS]))
+    limits = spark.createDataFrame([(FIXED_LOW, FIXED_HIGH)], "score_low DOUBLE, score_high DOUBLE")
+    out = T.gated_forest(observations(spark, d), [], trees, limits, SERIES, ORDER, G.model_rule(0.5), keep=["obs_id"])
+    return folded(out, "obs_id")
+
+
+@query("isolation_forest_gated")
+def isolation_forest_gated(spark, d):
+    """Every observation under its country's forest, flagged prices kept out of the baseline of later ones."""
+    out = T.gated_forest(observations(spark, d), ["country"], country_trees(spark, d), country_limits(spark, d), SERIES, ORDER,
+                         G.model_rule(0.4), keep=["obs_id", "country"])
+    return folded(out, "obs_id", "country")
+
+
+@query("gated_cascade_default")
+def gated_cascade_default(spark, d):
+    """The default preset: sanity gate, three statistical detectors from 3 observations on, the forest from 5 on."""
+    rows = D.evaluation_features(observations(spark, d)).withColumn("s", D.sanity()).withColumns({
+        "s_flagged": F.col("s.flagged"), "s_score": F.col("s.score"), "s_severity": F.col("s.severity"),
+        "s_types": F.array_join("s.types", ","),
+    })
+    members = {"sanity": G.row_rule("s"), "zscore": G.zscore_rule(), "iqr": G.iqr_rule(), "threshold": G.change_rule(),
+               "iforest": G.model_rule(0.5)}
+    rule = G.cascade_rule([
+        {**item, "rules": {m: members[m] for m in item["members"]}} for item in C.PRESETS["default"]
+    ])
+    out = T.gated_forest(rows, ["country"], country_trees(spark, d), country_limits(spark, d), SERIES, ORDER, rule,
+                         keep=["obs_id"], extra=["s_flagged", "s_score", "s_severity", "s_types"])
+    return folded(out, "obs_id", "types")
+
+
 def _metrics(df, score, by, cut):
     scored = df.withColumn("predicted", F.coalesce(F.col(score) >= cut, F.lit(False)))
     out = M.with_rates(scored.groupBy(*by).agg(*M.confusion()))

@@ -6,19 +6,25 @@ held in memory. A series longer than ``chunk_rows`` is cut into time chunks
 that run in parallel: every chunk first runs from a guessed entry state, then
 chunks whose entry differs from the exit of the chunk before are run again
 until all agree. The result equals the sequential walk.
+
+A model (``model``) scores rows against the same baselines. Series do not depend
+on each other, so the k-th rows of all series of a batch go through the model
+together: one matrix a round in place of one call a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.operators.rules import DEPTH, Baseline
+from tidemark.operators.rules import DEPTH, Baseline, tree_inputs
 from tidemark.plans.skew import CHUNK_ROWS, chunk_series, null_safe_join, series_key
 from tidemark.session import persist_table, ship_package
 
@@ -49,6 +55,14 @@ RESULT = T.StructType([
 Rule = Callable[[float, Baseline, dict], tuple]
 
 
+class Model(Protocol):
+    """Scores rows of model inputs; ``columns`` are the row's columns it needs besides, list_price among them."""
+
+    columns: Sequence[str]
+
+    def scores(self, inputs: np.ndarray, rows: Sequence[dict]) -> Sequence[float | None]: ...
+
+
 def _none(value):
     """Missing values of a pandas row as None."""
     return None if value is None or value != value else value
@@ -88,8 +102,37 @@ def step(base: Baseline, price: float | None, now: int, row: dict, rule: Rule,
     return n, mean, std, z, change, unchanged, days, flagged, score, severity, types, accepted
 
 
+class _Stretch:
+    """Rows ``at`` to ``end`` of one series within a batch, and its baseline."""
+
+    __slots__ = ("at", "end", "base", "rule")
+
+    def __init__(self, at: int, end: int, base: Baseline, rule: Rule):
+        self.at, self.end, self.base, self.rule = at, end, base, rule
+
+    def next_row(self, column: dict[str, list], finished: list) -> bool:
+        """Move to the next observation, past entry states and end markers."""
+        while self.at < self.end:
+            if column["_state"][self.at] is not None:
+                self.base = state_from(column["_state"][self.at])
+            elif column["_end"][self.at]:
+                finished.append((column["_series"][self.at], self.base.snapshot()))
+            else:
+                return True
+            self.at += 1
+        return False
+
+    def base_for(self, column: dict[str, list], acceptance: bool, tolerance: float, hours: float) -> Baseline:
+        """The baseline the row will be judged by: a held price that is released by it counts already."""
+        if not acceptance or self.base.held_price is None:
+            return self.base
+        after = Baseline(*self.base.snapshot())
+        after.released(_none(column["price"][self.at]) or 0.0, column["_us"][self.at], tolerance, hours)
+        return after
+
+
 def _walker(keep: list[str], extra: list[str], rules: dict[str, Rule] | Rule,
-            acceptance: bool, tolerance: float, hours: float, emit: str):
+            acceptance: bool, tolerance: float, hours: float, emit: str, model: Model | None = None):
     """mapInArrow body over rows sorted by series, entry state first, then time.
 
     Series are told apart by ``_series``, one non-null text per key, and rows to
@@ -98,29 +141,42 @@ def _walker(keep: list[str], extra: list[str], rules: dict[str, Rule] | Rule,
     result_types = [pa.field(f.name, to_arrow_type(f.dataType)) for f in RESULT.fields]
     state_type = pa.struct([pa.field(f.name, to_arrow_type(f.dataType)) for f in STATE.fields])
 
+    def rule_of(candidate):
+        return rules[candidate] if isinstance(rules, dict) else rules
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, base, rule = None, None, None
+        series, base = None, Baseline()
         for batch in batches:
             column = {c: batch.column(c).to_pylist() for c in ("_series", "_state", "price", "_us", "_end", "_candidate", *extra)}
-            picked, results, finished = [], [], []
-            for i, series in enumerate(column["_series"]):
-                if series != current:
-                    current, base = series, Baseline()
-                    rule = rules[column["_candidate"][i]] if isinstance(rules, dict) else rules
-                if column["_state"][i] is not None:
-                    base = state_from(column["_state"][i])
-                    continue
-                if column["_end"][i]:
-                    finished.append((series, base.snapshot()))
-                    continue
-                row = {c: column[c][i] for c in extra}
-                result = step(base, _none(column["price"][i]), column["_us"][i], row, rule, acceptance, tolerance, hours)
-                if emit == "rows":
-                    picked.append(i)
-                    results.append(result)
+            starts = [i for i, k in enumerate(column["_series"]) if i == 0 or k != column["_series"][i - 1]]
+            bases = [base if column["_series"][i] == series else Baseline() for i in starts[:1]] + [Baseline() for _ in starts[1:]]
+            results, finished = [None] * batch.num_rows, []
+            stretches = [_Stretch(at, end, b, rule_of(column["_candidate"][at])) for at, end, b in
+                         zip(starts, [*starts[1:], batch.num_rows], bases)]
+            waiting = stretches
+            while waiting:
+                # One row of each series; without a model a series runs to its end at once.
+                at = [s for s in waiting if s.next_row(column, finished)]
+                rows = [{c: column[c][s.at] for c in extra} for s in at]
+                if model is not None and at:
+                    inputs = [tree_inputs(_none(column["price"][s.at]) or 0.0, _none(r["list_price"]), s.base_for(column, acceptance, tolerance, hours))
+                              for s, r in zip(at, rows)]
+                    for row, score in zip(rows, model.scores(np.array(inputs), rows)):
+                        row["model_score"] = score
+                for s, row in zip(at, rows):
+                    results[s.at] = step(s.base, _none(column["price"][s.at]), column["_us"][s.at], row, s.rule, acceptance, tolerance, hours)
+                    s.at += 1
+                    while model is None and s.next_row(column, finished):
+                        row = {c: column[c][s.at] for c in extra}
+                        results[s.at] = step(s.base, _none(column["price"][s.at]), column["_us"][s.at], row, s.rule, acceptance, tolerance, hours)
+                        s.at += 1
+                waiting = [s for s in at if s.at < s.end]
+            if stretches:
+                series, base = column["_series"][-1], stretches[-1].base
             if emit == "rows":
+                picked = [i for i, r in enumerate(results) if r is not None]
                 rows = pa.Table.from_batches([batch.select(keep)]).take(pa.array(picked, pa.int64()))
-                values = list(zip(*results)) if results else [[] for _ in result_types]
+                values = list(zip(*[results[i] for i in picked])) if picked else [[] for _ in result_types]
                 columns = [*[c.combine_chunks() for c in rows.columns], *[pa.array(v, f.type) for v, f in zip(values, result_types)]]
                 yield pa.RecordBatch.from_arrays([_whole(c) for c in columns], [*keep, *[f.name for f in result_types]])
             else:
@@ -203,19 +259,22 @@ def gated_fold(
     hours: float = 24.0,
     time: str = "seen_at",
     chunk_rows: int | None = CHUNK_ROWS,
+    model: Model | None = None,
 ) -> DataFrame:
     """Score every row of ``df`` against its series' gated baseline.
 
     ``rule`` may be a dict keyed by the last key column (a candidate name), for
     folds repeated per candidate. ``states`` seeds series with earlier prices.
+    ``model`` scores rows for rules that read ``model_score`` (``rules.model_rule``).
     """
-    keys, order, keep, extra = list(keys), list(order), list(keep), list(extra)
+    keys, order, keep = list(keys), list(order), list(keep)
+    extra = list(dict.fromkeys([*extra, *(model.columns if model else ())]))
     rows, states, run_keys = _prepare(df, keys, order, keep, extra, states, rule, acceptance,
-                                      tolerance, hours, time, chunk_rows)
+                                      tolerance, hours, time, chunk_rows, model)
     ready = _sorted_input(rows, states, run_keys, order, with_ends=False)
     fields = [ready.schema[c] for c in keep]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + RESULT.fields)
-    walk = _walker(keep, extra, rule, acceptance, tolerance, hours, "rows")
+    walk = _walker(keep, extra, rule, acceptance, tolerance, hours, "rows", model)
     return _columns_read(ready, keys, keep, extra, rule).mapInArrow(walk, schema)
 
 
@@ -226,7 +285,7 @@ def _columns_read(ready: DataFrame, keys: list[str], keep: list[str], extra: lis
     return ready.withColumn("_candidate", candidate).select(*dict.fromkeys([*own, "_candidate", *keep, *extra]))
 
 
-def _prepare(df, keys, order, keep, extra, states, rule, acceptance, tolerance, hours, time, chunk_rows):
+def _prepare(df, keys, order, keep, extra, states, rule, acceptance, tolerance, hours, time, chunk_rows, model=None):
     clock: Column = F.unix_micros(F.col(time).cast("timestamp"))
     needed = list(dict.fromkeys([*keys, *order, *keep, *extra, "price"]))
     rows = df.withColumn("_us", clock).select(*needed, "_us")
@@ -236,23 +295,23 @@ def _prepare(df, keys, order, keep, extra, states, rule, acceptance, tolerance,
     if not cut:
         return rows, states, keys
     run_keys = [*keys, "_chunk"]
-    args = (run_keys, keys, order, keep, extra, rule, acceptance, tolerance, hours)
+    args = (run_keys, keys, order, keep, extra, rule, acceptance, tolerance, hours, model)
     chunked = persist_table(chunked, "fold-chunks")
     return chunked, _settle_chunks(chunked, states, *args), run_keys
 
 
-def _exit_states(rows, entries, run_keys, keys, order, keep, extra, rule, acceptance, tolerance, hours):
+def _exit_states(rows, entries, run_keys, keys, order, keep, extra, rule, acceptance, tolerance, hours, model=None):
     ready = _sorted_input(rows, entries, run_keys, order, with_ends=True)
-    walk = _walker(keep, extra, rule, acceptance, tolerance, hours, "states")
+    walk = _walker(keep, extra, rule, acceptance, tolerance, hours, "states", model)
     schema = T.StructType([T.StructField("_series", T.StringType()), T.StructField("_state", STATE)])
     out = _columns_read(ready, keys, [], extra, rule).mapInArrow(walk, schema)
     named = rows.select(*run_keys).distinct().withColumn("_series", series_key(run_keys))
     return named.join(out, "_series").select(*run_keys, "_state")
 
 
-def _settle_chunks(chunked, states, run_keys, keys, order, keep, extra, rule, acceptance, tolerance, hours):
+def _settle_chunks(chunked, states, run_keys, keys, order, keep, extra, rule, acceptance, tolerance, hours, model=None):
     """Entry states of all chunks such that each equals the exit of the chunk before."""
-    args = (run_keys, keys, order, keep, extra, rule, acceptance, tolerance, hours)
+    args = (run_keys, keys, order, keep, extra, rule, acceptance, tolerance, hours, model)
     # Only series with more than one chunk need settling.
     long_keys = chunked.filter(F.col("_chunk") > 0).select(*keys).distinct()
     work = null_safe_join(chunked, long_keys, keys, "left_semi")
@@ -290,13 +349,14 @@ def final_states(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rule: Rule, *,
     extra: Sequence[str] = (), states: DataFrame | None = None, acceptance: bool = False,
     tolerance: float = 0.02, hours: float = 24.0, time: str = "seen_at",
-    chunk_rows: int | None = CHUNK_ROWS,
+    chunk_rows: int | None = CHUNK_ROWS, model: Model | None = None,
 ) -> DataFrame:
     """State of every series after its last row, one row per series."""
-    keys, order, extra = list(keys), list(order), list(extra)
+    keys, order = list(keys), list(order)
+    extra = list(dict.fromkeys([*extra, *(model.columns if model else ())]))
     rows, entry, run_keys = _prepare(df, keys, order, [], extra, states, rule, acceptance,
-                                     tolerance, hours, time, chunk_rows)
-    out = _exit_states(rows, entry, run_keys, keys, order, [], extra, rule, acceptance, tolerance, hours)
+                                     tolerance, hours, time, chunk_rows, model)
+    out = _exit_states(rows, entry, run_keys, keys, order, [], extra, rule, acceptance, tolerance, hours, model)
     if "_chunk" in run_keys:
         out = out.groupBy(*keys).agg(F.max_by("_state", "_chunk").alias("_state"))
     return out

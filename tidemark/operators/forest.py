@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -240,6 +241,70 @@ def score_forest(
     return out
 
 
+@dataclass
+class FoldModel:
+    """Forests of several scopes with the extremes of their training scores, for ``fold.gated_fold``.
+
+    ``shared`` broadcasts {scope: (trees, low, high)}; rows of other scopes have no score.
+    """
+
+    by: list[str]
+    shared: object
+
+    @property
+    def columns(self) -> list[str]:
+        return [*self.by, "list_price"]
+
+    def scores(self, inputs: np.ndarray, rows: Sequence[dict]) -> list[float | None]:
+        found, scopes = [None] * len(rows), {}
+        for i, row in enumerate(rows):
+            scopes.setdefault(tuple(row[c] for c in self.by), []).append(i)
+        for scope, where in scopes.items():
+            trees, low, high = self.shared.value.get(scope, ((), 0.0, 1.0))
+            if trees:
+                part = inputs[where]
+                paths = sum(tree_paths(part, t) for t in trees) / len(trees)
+                raw = np.power(2.0, -paths / (average_path(max(t["psi"] for t in trees)) or 1.0))
+                scaled = np.clip((raw - low) / ((high - low) if high > low else 1.0), 0.0, 1.0)
+                for i, value in zip(where, scaled.tolist()):
+                    found[i] = value
+        return found
+
+
+def gated_forest(
+    df: DataFrame, by: Sequence[str], model: DataFrame, limits: DataFrame, keys: Sequence[str], order: Sequence[str],
+    rule: Callable, *, keep: Sequence[str], **options,
+) -> DataFrame:
+    """Every row scored by its scope's forest inside the gated fold, where flagged prices stay out of the baseline.
+
+    A series lies in one scope. ``model`` and ``limits`` are written tables of
+    ``fit_forest`` and ``calibrate``; trees are broadcast in batches of checked
+    size, each batch folding the series of its scopes. Rows of a scope without a
+    forest are judged without a model, which flags none and accepts all.
+    """
+    from tidemark.operators.fold import gated_fold
+
+    by, spark = list(by), df.sparkSession
+    known = {tuple(r[c] for c in by): (r["score_low"], r["score_high"]) for r in limits.collect()}  # one row per scope
+    batches = _scope_batches(model, by)
+    parts = []
+    for batch in batches:
+        chosen, rows = model, df
+        if len(batches) > 1:
+            scopes = F.broadcast(spark.createDataFrame(batch, T.StructType([df.schema[c] for c in by])))
+            chosen, rows = model.join(scopes, by, "left_semi"), df.join(scopes, by, "left_semi")
+        forests = _load(chosen.collect(), by, len(TREE_FEATURES))
+        shared = spark.sparkContext.broadcast({k: (v, *known.get(k, (0.0, 1.0))) for k, v in forests.items()})
+        parts.append(gated_fold(rows, keys, order, rule, keep=keep, model=FoldModel(by, shared), **options))
+    if len(batches) > 1:
+        rest = df.join(model.select(*by).distinct(), by, "left_anti")
+        parts.append(gated_fold(rest, keys, order, rule, keep=keep, model=FoldModel(by, spark.sparkContext.broadcast({})), **options))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def calibrate(scored: DataFrame, by: Sequence[str], name: str = "isolation") -> DataFrame:
     """Extremes of the training scores per scope, for min-max normalising."""
     return scored.groupBy(*by).agg(F.min(name).alias("score_low"), F.max(name).alias("score_high"))

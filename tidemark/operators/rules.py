@@ -210,6 +210,25 @@ def row_rule(prefix: str):
     return rule
 
 
+def _score_band(score: float) -> str:
+    return "critical" if score >= 0.9 else "high" if score >= 0.8 else "medium" if score >= 0.7 else "low"
+
+
+def model_rule(threshold: float = 0.5):
+    """A model's verdict: the fold puts the score against the gated baseline into ``model_score``; None without a model."""
+    def rule(price, base, row):
+        score = row["model_score"]
+        if score is None:
+            return SHORT
+        if score < threshold:
+            return False, score, None, "", False
+        z = base.zscore(price) if len(base.prices) >= MIN_OBSERVATIONS else None
+        change = base.change(price)
+        by_change = abs(z or 0.0) <= 2 and change is not None and abs(change) > 0.2
+        return True, score, _score_band(score), "price_change" if by_change else "price_zscore", False
+    return rule
+
+
 def tree_inputs(price: float, list_price: float | None, base: Baseline) -> list[float]:
     """The twelve model inputs against the gated baseline; unknown ones are zero."""
     has_list = list_price is not None
@@ -270,7 +289,6 @@ def weighted_rule(members: list[tuple[Callable, float]], decide_at: float = 0.5)
         score = sum(r[1] * w for r, w in live) / sum(w for _, w in live)
         if score < decide_at:
             return False, score, None, "", False
-        band = "critical" if score >= 0.9 else "high" if score >= 0.8 else "medium" if score >= 0.7 else "low"
         types = sorted({t for r, _ in live for t in r[3].split(",") if t})
-        return True, score, band, ",".join(types), False
+        return True, score, _score_band(score), ",".join(types), False
     return rule
