@@ -1,6 +1,7 @@
 """The skew-safe paths give the plain results when limits force them."""
 
 import datetime as dt
+import json
 
 import numpy as np
 import pandas as pd
@@ -157,9 +158,36 @@ def test_cut_tree_keeps_its_counts():
         assert tree.displacement(leaf) == (pytest.approx(total), len(level) + 1)
 
 
-def test_cut_forest_chunks_cover_all_rows(hot):
+def plain_cut_forest(rows, trees, size, block):
+    """Every tree walks each block of the order after the window of rows before it."""
+    out, scopes = {}, {}
+    for r in sorted(rows, key=lambda r: (r.seen_at, r.obs_id)):
+        scopes.setdefault(r.product_id, []).append(r)
+    for key, own in scopes.items():
+        text = json.dumps({"product_id": key}, separators=(",", ":"))
+        for start in range(0, len(own), block):
+            for t in range(trees):
+                tree = CF.CutTree(size, f"42|{text}|{start // block}|{t}")
+                for n, r in enumerate(own[max(0, start - size):start + block], max(0, start - size)):
+                    leaf = tree.add([float(r.x), float(r.y)])
+                    if n >= start:
+                        out.setdefault((r.obs_id, n + 1), []).append(tree.displacement(leaf))
+    return {k: (round(np.mean([d for d, _ in v]), 9), np.mean([d for _, d in v])) for k, v in out.items()}
+
+
+def test_cut_forest_blocks_equal_walk(hot):
     df = hot.withColumn("x", F.col("price")).withColumn("y", F.col("price") * 2)
-    got = CF.cut_forest_scores(df, ["product_id"], ORDER, ident="obs_id", features=["x", "y"], trees=4,
-                               tree_size=16, chunk_rows=60)
-    assert got.count() == hot.count() == got.select("obs_id").distinct().count()
-    assert got.filter("raw_score IS NULL OR stream_score NOT BETWEEN 0 AND 1").count() == 0
+    df = df.unionByName(df.filter("product_id = 2").withColumns({"product_id": F.lit(None).cast("long"), "obs_id": F.concat(F.lit("n"), "obs_id")}))
+
+    def run(frame, rows):
+        got = CF.cut_forest_scores(frame, ["product_id"], ORDER, ident="obs_id", features=["x", "y"], trees=3, tree_size=16, block_rows=48,
+                                   slice_rows=rows)
+        return {(r.obs_id, r.seen): (round(r.raw_score, 9), r.depth) for r in got.collect()}
+
+    whole = run(df, 1000)
+    assert whole == plain_cut_forest(df.collect(), 3, 16, 48)
+    assert whole == run(df, 20)
+    # What follows a row does not change its scores.
+    early = df.filter(F.col("seen_at") < T0 + dt.timedelta(hours=90))
+    first = run(early, 1000)
+    assert len(first) < len(whole) and all(whole[k] == v for k, v in first.items())

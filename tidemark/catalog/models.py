@@ -20,6 +20,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import reconstruction as E
 from tidemark.operators import rules as G
 from tidemark.plans.skew import join_small
+from tidemark.session import persist_table
 
 
 def feature_table(spark, d):
@@ -142,8 +143,10 @@ def cut_forest_stream_scores(spark, d):
     depth = rolled.select("event_id", "observation_count")
     inputs = X.tree_features(rolled)
     scores = R.cut_forest_scores(inputs, ["event_type"], ["seen_at", "event_id"], ident="event_id", trees=16)
-    # Training scores are those of the first half of the stream.
-    limits = T.calibrate(scores.filter(F.col("event_id") % 2 == 0), ["event_type"], "raw_score")
+    # Training scores are those of the first half of the stream: rows up to the middle position of their type.
+    scores = persist_table(scores, "cut-forest-scores")
+    halves = scores.groupBy("event_type").agg((F.max("seen") / 2).alias("_half"))
+    limits = T.calibrate(join_small(scores, halves, ["event_type"]).filter("seen <= _half"), ["event_type"], "raw_score")
     out = R.cut_forest_flags(scores.join(depth, "event_id"), limits, ["event_type"], 0.6)
     return rounded(out, "raw_score", "stream_score", "score", "depth").select(
         "event_id", "event_type", "raw_score", "stream_score", "score", "depth", "flagged"
