@@ -372,44 +372,6 @@ def test_pieces_equal_the_library(spark, docs, texts):
 
 # 8: lines
 
-def plain_cut(texts, least=50):
-    """Windows of at least ``least`` words that occurred before, extended both ways, in text order."""
-    lines = {i: [(n, x) for n, x in enumerate(t.split("\n")) if x.encode().split()] for i, t in texts.items()}
-    first, windows = {}, []
-    for i in sorted(texts):
-        for a in range(len(lines[i])):
-            n, b = 0, a
-            while b < len(lines[i]) and n < least:
-                n += len(lines[i][b][1].encode().split())
-                b += 1
-            if n >= least:
-                key = tuple(x for _, x in lines[i][a:b])
-                windows.append((i, a, key))
-                first.setdefault(key, (i, a))
-    gone = {i: set() for i in texts}
-    for i, a, key in windows:
-        j, c = first[key]
-        if (j, c) == (i, a):
-            continue
-        low = high = 0
-        while min(a, c) - low > 0 and lines[i][a - low - 1][1] == lines[j][c - low - 1][1]:
-            low += 1
-        while a + high < len(lines[i]) and c + high < len(lines[j]) and lines[i][a + high][1] == lines[j][c + high][1]:
-            high += 1
-        gone[i].update(range(lines[i][a - low][0], lines[i][a + high - 1][0] + 1))
-    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
-
-
-def test_line_dedup_equals_plain_search(spark, docs, texts):
-    rng = random.Random(9)
-    pool = [" ".join(f"p{k}w{j}" for j in range(rng.choice([1, 3, 10, 30, 60]))) for k in range(40)]
-    made = {1000 + i: "\n".join(rng.choice([*pool, "", "  "]) for _ in range(rng.randint(0, 12))) for i in range(150)}
-    made |= {2000 + i: "\n".join(pool[(i % 5) : (i % 5) + 8]) for i in range(30)}
-    every = texts | made
-    frame = spark.createDataFrame(list(every.items()), "doc_id LONG, text STRING").repartition(4)
-    assert {r.doc_id: r.text for r in linededup.delete_repeats(frame).collect()} == plain_cut(every)
-
-
 def cut_by_all_earlier_runs(texts, least=50):
     """Every run of at least ``least`` words that is equal to any run at an earlier place."""
     lines = {i: [(n, x) for n, x in enumerate(t.split("\n")) if x.encode().split()] for i, t in texts.items()}
@@ -427,6 +389,16 @@ def cut_by_all_earlier_runs(texts, least=50):
     return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t in texts.items()}
 
 
+def test_line_dedup_equals_plain_search(spark, docs, texts):
+    rng = random.Random(9)
+    pool = [" ".join(f"p{k}w{j}" for j in range(rng.choice([1, 3, 10, 30, 60]))) for k in range(40)]
+    made = {1000 + i: "\n".join(rng.choice([*pool, "", "  "]) for _ in range(rng.randint(0, 12))) for i in range(150)}
+    made |= {2000 + i: "\n".join(pool[(i % 5) : (i % 5) + 8]) for i in range(30)}
+    every = texts | made
+    frame = spark.createDataFrame(list(every.items()), "doc_id LONG, text STRING").repartition(4)
+    assert {r.doc_id: r.text for r in linededup.delete_repeats(frame).collect()} == cut_by_all_earlier_runs(every)
+
+
 def test_line_dedup_finds_runs_equal_to_any_earlier_run(spark):
     rng = random.Random(4)
     line = lambda k, n: " ".join(f"q{k}w{j}" for j in range(n))

@@ -7,7 +7,7 @@ import pytest
 import corpus_pipeline
 from tidemark.llm import pieces
 from tidemark.session import persist_table
-from tests.llm.test_methods import plain_classes, plain_cut
+from tests.llm.test_methods import plain_classes, cut_by_all_earlier_runs
 
 
 @pytest.fixture(scope="module")
@@ -43,7 +43,7 @@ def test_stages(spark, folder):
     toxic, lines, near, mixed, coded = out
     given = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     assert set(toxic) == {i for i in given if "scum" not in given[i]}
-    assert {i: r.text for i, r in lines.items()} == plain_cut({i: r.text for i, r in toxic.items()})
+    assert {i: r.text for i, r in lines.items()} == cut_by_all_earlier_runs({i: r.text for i, r in toxic.items()})
     assert set(near) == set(plain_classes({i: r.text for i, r in lines.items()}).values())
     assert set(mixed) <= set(near) and all(mixed[i].text == near[i].text for i in mixed)
     assert all(coded[i].restored and coded[i].n_pieces == pieces.encoder().encode(__import__("pyarrow").array([mixed[i].text]))[0][0] for i in mixed)
