@@ -191,3 +191,31 @@ def test_cut_forest_blocks_equal_walk(hot):
     early = df.filter(F.col("seen_at") < T0 + dt.timedelta(hours=90))
     first = run(early, 1000)
     assert len(first) < len(whole) and all(whole[k] == v for k, v in first.items())
+
+
+@pytest.mark.parametrize("prices", ["jumping", "steady", "drifting"])
+def test_tracker_over_chunks(spark, prices):
+    rng, rows = np.random.default_rng(17), []
+    for key, n in ((1, 300), (None, 120), (3, 5)):
+        for i in range(n):
+            price = {"jumping": float(rng.choice([0.0, 100.0, 100.5, 101.5, 140.0])), "steady": 100.0 + i % 2 * 0.5, "drifting": 100.0 * 1.003**i}[prices]
+            run = None if i % 23 == 7 else f"r{i // 3}"
+            rows.append((f"{key}-{i:04d}", key, None if i % 31 == 9 else price, run, T0 + dt.timedelta(hours=i // 2)))
+    df = spark.createDataFrame(rows, "obs_id STRING, product_id LONG, price DOUBLE, run STRING, seen_at TIMESTAMP").repartition(3)
+
+    def run_with(limit):
+        got = track_changes(df, ["product_id"], ORDER, "run", ["obs_id"], chunk_rows=limit)
+        return sorted((tuple(r) for r in got.collect()), key=str)
+
+    whole, state, want = run_with(10_000), {}, []
+    for ident, key, price, run, seen in sorted(rows, key=lambda r: (r[4], r[0])):
+        if price is not None:
+            before, position = state.get(key, (None, 0))
+            now = int((seen - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+            from tidemark.operators.tracker import advance
+
+            after, flags = advance(before, price, run, now)
+            state[key] = after, position + 1
+            want.append((key, ident, *after[:4], *flags, position + 1))
+    assert whole == sorted(want, key=str)
+    assert run_with(25) == whole
