@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.base import OBS, ORDER, SERIES, observations, query, r6, r6_sql, rounded, stored, with_sql
 from tidemark.catalog.evaluation import (
-    COMB, SCORED, conf_sql, long_predictions, observation_table, raw_rates, scored_base,
+    COMB, DS, SCORED, conf_sql, inject_sql, injected_base, long_predictions, observation_table, raw_rates, scored_base,
 )
+from tidemark.catalog.scoring import fold_sql
 from tidemark.operators import history as H
 from tidemark.operators import metrics as M
 from tidemark.operators import reports as P
 from tidemark.operators import sweeps as W
+from tidemark.operators.candidates import count_many
 from tidemark.plans.preparation import expand_scopes
 
 MH = [5, 25, 30]
@@ -464,6 +466,37 @@ def staged_sweep(spark, d):
     return rounded(out, "rank_score", "combined_f1").select("competitor_id", "family", "candidate_id", "threshold", "stage", "rank_score", "combined_f1")
 
 
+def attempt_rows(spark, d):
+    """Injected rows of both splits; attempts are the two market segments."""
+    return injected_base(spark, d).withColumns({"attempt": F.col("segment"), "truth": F.col("is_injected")})
+
+
+@query("refitted_sweep")
+def refitted_sweep(spark, d):
+    """All eight families, coarse and refined, every candidate on baselines of its own; by competitor."""
+    out = W.refitted_sweep(attempt_rows(spark, d), SERIES, ORDER, ["competitor_id"], first_attempt="B2B")
+    return rounded(out, "rank_score", "combined_f1").select(
+        "competitor_id", "family", "candidate_id", "params", "stage", "rank_score", "combined_f1", "status", "message", "best")
+
+
+# Between the grid's values, at which many rows sit exactly.
+_REFITTED = {W.candidate_id("standard_zscore", {"threshold": t}): t for t in (1.87, 2.37, 2.9, 3.41, 4.13)}
+
+
+@query("refitted_zscore_counts", with_sql(OBS, DS, inject_sql("ds", "dataset_split"), fold_sql(
+    "product_id, competitor_id, segment, dataset_split, cand", "obs_id", f"""SELECT inj.*, cand, t FROM inj,
+      (SELECT unnest({list(_REFITTED.values())}::DOUBLE[]) AS t, unnest({list(_REFITTED)}) AS cand)""", "n >= 3 AND abs(z) > t", "0.0", "NULL"),
+    body="""SELECT dataset_split, cand AS candidate_id, count(*) FILTER (flagged AND anomaly_type IS NOT NULL) AS tp,
+  count(*) FILTER (flagged AND anomaly_type IS NULL) AS fp, count(*) FILTER (NOT flagged AND anomaly_type IS NOT NULL) AS fn,
+  count(*) FILTER (NOT flagged AND anomaly_type IS NULL) AS tn FROM walk JOIN (SELECT obs_id, anomaly_type FROM inj) i ON ident = i.obs_id
+  WHERE rn > 0 GROUP BY ALL""", recursive=True))
+def refitted_zscore_counts(spark, d):
+    """Confusion counts of the z-score candidates, one pass, a baseline for each."""
+    rules = {i: W.rule_of("standard_zscore", {"threshold": t}) for i, t in _REFITTED.items()}
+    out = count_many(attempt_rows(spark, d), [*SERIES, "segment", "dataset_split"], ORDER, rules, ["dataset_split"])
+    return out.select("dataset_split", "candidate_id", "tp", "fp", "fn", "tn")
+
+
 @query("tuning_sweep_round_trip", with_sql(*CR, body="SELECT scope_kind, scope_id, mh, family, candidate_id FROM rk WHERE place = 1"))
 def tuning_sweep_round_trip(spark, d):
     from tidemark.session import scratch_path

@@ -7,9 +7,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import metrics as M
 from tidemark.operators import reports as P
+from tidemark.operators import rules as R
+from tidemark.operators.candidates import COUNTS, count_many
+from tidemark.operators.fold import Rule
+from tidemark.plans.skew import null_safe_join
+from tidemark.session import persist_table
 
 # Per family the parameters with coarse values, bounds, default, and refinement radius and step.
 FAMILIES: dict[str, dict[str, dict]] = {
@@ -165,3 +171,83 @@ def staged_sweep(
     refined = averaged(near).withColumn("stage", F.lit("refine"))
     fresh = refined.join(full.select(*scope, "family", "candidate_id"), [*scope, "family", "candidate_id"], "left_anti")
     return P.best_candidate(full.unionByName(fresh), [*scope, "family"])
+
+
+def rule_of(family: str, params: dict[str, float]) -> Rule:
+    """The fold's rule of a candidate."""
+    if family == "standard_zscore":
+        return R.zscore_rule(params["threshold"])
+    if family == "iqr":
+        return R.iqr_rule(params["multiplier"])
+    if family == "threshold":
+        return R.change_rule(params["price_change_threshold"])
+    mode = family.removeprefix("modified_").removeprefix("hybrid_")
+    return R.modified_rule(mode, params["threshold"], params.get("w", 0.5))
+
+
+def refitted_sweep(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], scope: Sequence[str], *, families: Sequence[str] = tuple(FAMILIES),
+    first_attempt: object, attempt: str = "attempt", truth: str = "truth", states: DataFrame | None = None,
+) -> DataFrame:
+    """Screen, promote, evaluate and refine candidates, each on baselines gated by its own decisions.
+
+    Every stage is one pass over its rows for all its candidates together
+    (``candidates.count_many``); candidates number what the families' grids
+    allow, whatever the data. Returns every candidate evaluated: scope, family, candidate_id,
+    parameters (``params``), stage ('screen', 'coarse' or 'refine'), averages, status
+    and message; ``best`` marks each scope's and family's best one.
+    """
+    scope, keys, order = list(scope), list(keys), list(order)
+    spark, by = rows.sparkSession, [*scope, attempt, "dataset_split"]
+    series = list(dict.fromkeys([*keys, *scope, attempt, "dataset_split"]))
+
+    def described(candidates: dict[str, tuple[str, dict]]) -> DataFrame:
+        table = [(i, f, ",".join(f"{k}={p[k]:g}" for k in p), distance_to_default(f, p)) for i, (f, p) in candidates.items()]
+        return F.broadcast(spark.createDataFrame(table, "candidate_id STRING, family STRING, params STRING, default_distance DOUBLE"))
+
+    def averaged(part: DataFrame, candidates: dict[str, tuple[str, dict]], stage: str) -> DataFrame:
+        counts = count_many(part, series, order, {i: rule_of(f, p) for i, (f, p) in candidates.items()}, by, truth=truth, states=states)
+        counts = persist_table(counts, "candidate-counts")
+        named = [*scope, "candidate_id"]
+        metrics = M.with_rates(counts.filter("status = 'ok'").select(*by, "candidate_id", *COUNTS))
+        good = P.candidate_averages(metrics.withColumnRenamed(attempt, "attempt"), named, M.METRICS)
+        bad = counts.filter("status = 'error'").groupBy(*named).agg(F.min("message").alias("message"))
+        keyed = counts.select(*named).distinct()
+        out = _with(_with(keyed, bad, named), good, named)
+        failed = F.col("message").isNotNull()
+        measures = [c for c in good.columns if c not in named]
+        out = out.select(*named, *[F.when(~failed, F.col(c)).alias(c) for c in measures],
+                         F.when(failed, "error").otherwise("ok").alias("status"), F.coalesce("message", F.lit("")).alias("message"))
+        return persist_table(out.join(described(candidates), "candidate_id").withColumn("stage", F.lit(stage)), f"sweep-{stage}")
+
+    def chosen(df: DataFrame) -> dict[str, tuple[str, dict]]:
+        return {i: candidates[i] for i in sorted(r.candidate_id for r in df.select("candidate_id").distinct().collect())}
+
+    candidates = {candidate_id(f, p): (f, p) for f in families for p in coarse_grid(f)}
+    group = [*scope, "family"]
+    screen = averaged(rows.filter(F.col(attempt) == first_attempt), candidates, "screen")
+    kept = persist_table(P.promoted(screen, group).select(*scope, "candidate_id"), "sweep-promoted")
+    coarse = averaged(rows, chosen(kept), "coarse") if not kept.isEmpty() else screen.limit(0)
+    coarse = coarse.join(kept, [*scope, "candidate_id"], "left_semi")
+    centres = P.best_candidate(coarse.filter("status = 'ok'"), group).select(*scope, "candidate_id").collect()  # a row per scope and family
+    wanted = []
+    for r in centres:
+        family, params = candidates[r.candidate_id]
+        for p in refined_grid(family, params):
+            candidates.setdefault(candidate_id(family, p), (family, p))
+            wanted.append((*[r[c] for c in scope], candidate_id(family, p)))
+    near = spark.createDataFrame(wanted, T.StructType([*[rows.schema[c] for c in scope], T.StructField("candidate_id", T.StringType())]))
+    fresh = persist_table(near.distinct().join(coarse.select(*scope, "candidate_id"), [*scope, "candidate_id"], "left_anti"), "sweep-near")
+    evaluated = kept.unionByName(fresh)
+    parts = [screen.join(evaluated, [*scope, "candidate_id"], "left_anti"), coarse]
+    if not fresh.isEmpty():
+        parts.append(averaged(rows, chosen(fresh), "refine").join(fresh, [*scope, "candidate_id"], "left_semi"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    best = P.best_candidate(out.filter("stage != 'screen' AND status = 'ok'"), group).select(*scope, "candidate_id", F.lit(True).alias("_best"))
+    return _with(out, best, [*scope, "candidate_id"]).withColumn("best", F.coalesce("_best", F.lit(False))).drop("_best")
+
+
+def _with(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return null_safe_join(df, other, list(keys), "left")
