@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import shield, text_of
-from tidemark.llm.tokens import BATCH_ROWS, TOKENIZER, encoder
+from tidemark.llm.tokens import TOKENIZER, encoder, parts
 from tidemark.session import scratch_path
 
 # Fixed values of the format.
@@ -162,8 +162,7 @@ def write_records(docs: DataFrame, folder: str, name: str = TOKENIZER, end_id: i
         target = f"{root}/part-{part:05d}.rec"
         stream, mine, at, done = None, f"{target}.{uuid.uuid4().hex}", 0, 0
         for batch in batches:
-            for i in range(0, batch.num_rows, BATCH_ROWS):
-                rows = batch.slice(i, BATCH_ROWS)
+            for rows in parts(batch):
                 counts, ids = words.encode(rows.column("text"))
                 full = counts + 1
                 ends = np.cumsum(full)

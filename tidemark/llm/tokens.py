@@ -25,12 +25,25 @@ from tidemark.llm.common import shield, text_of
 TOKENIZER = "word_bpe_49k.json"
 # Texts longer than this many characters are encoded in overlapping chunks.
 CHUNK_CHARS, OVERLAP_CHARS = 32_768, 256
-# Distinct words a worker remembers; beyond, it forgets those met in one batch only. Results do not depend on it.
-MEMO_WORDS = 200_000
-BATCH_ROWS = 500
+# Distinct words, and letters of them, that a worker remembers; beyond, it forgets those met in one batch only.
+# Results do not depend on it.
+MEMO_WORDS, MEMO_LETTERS = 800_000, 16_000_000
+# Rows and bytes of text encoded at once; a longer text is a part of its own.
+BATCH_ROWS, BATCH_BYTES = 3_000, 12 << 20
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``BATCH_ROWS`` rows and ``BATCH_BYTES`` of ``text``."""
+    upto = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(upto, upto[at] + BATCH_BYTES, "right")) - 1
+        end = max(at + 1, min(end, at + BATCH_ROWS, batch.num_rows))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def load(name: str):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -47,6 +60,7 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.batches = np.zeros(0, np.int32)
 
@@ -58,14 +72,18 @@ class WordEncoder:
         place = np.full(len(self.lengths), -1, np.int64)
         place[often] = np.arange(len(often))
         self.known = {w: int(place[i]) for w, i in self.known.items() if place[i] >= 0}
+        self.letters = sum(map(len, self.known))
+        if self.letters > MEMO_LETTERS // 2:
+            return self._clear()
         size, first = self.lengths[often], (np.cumsum(self.lengths) - self.lengths)[often]
         upto = np.cumsum(size)
         self.ids = self.ids[np.repeat(first - (upto - size), size) + np.arange(int(size.sum()))]
         self.lengths, self.batches = size, np.zeros(len(often), np.int32)
 
-    def _key(self, word: str) -> str:
+    def _keys(self, words: pa.Array) -> pa.Array:
         # The normalizer lowers letters; a marker of the vocabulary is matched before that, so such words stay.
-        return word.lower() if word.isascii() and "<|" not in word else word
+        lowered = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        return pc.if_else(lowered, pc.ascii_lower(words), words)
 
     def _learn(self, words: list[str]) -> None:
         lengths, ids = [], []
@@ -87,17 +105,20 @@ class WordEncoder:
             ids.append(np.array(made.ids, np.uint32))
         for w in [*plain, *odd]:
             self.known[w] = len(self.known)
+            self.letters += len(w)
         self.lengths = np.concatenate([self.lengths, *lengths]).astype(np.int64)
         self.ids = np.concatenate([self.ids, *ids]).astype(np.uint32)
 
-    def _entries(self, words: list[str]) -> np.ndarray:
-        keys = [self._key(w) for w in words]
-        if len(self.known) > self.limit:
+    def _entries(self, words: pa.Array) -> np.ndarray:
+        keys = self._keys(words).to_pylist()
+        if len(self.known) > self.limit or self.letters > MEMO_LETTERS:
             self._forget()
-        new = [w for w in dict.fromkeys(keys) if w not in self.known]
+        places = list(map(self.known.get, keys))
+        new = list(dict.fromkeys(k for k, p in zip(keys, places) if p is None))
         if new:
             self._learn(new)
-        entry = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))
+            places = [self.known[k] if p is None else p for k, p in zip(keys, places)]
+        entry = np.array(places, np.int64)
         self.batches = np.concatenate([self.batches, np.zeros(len(self.lengths) - len(self.batches), np.int32)])
         self.batches[np.unique(entry)] += 1
         return entry
@@ -111,7 +132,7 @@ class WordEncoder:
         split = self.split(texts)
         bounds = split.offsets.to_numpy()
         flat = split.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        entry = self._entries(flat.dictionary.to_pylist())
+        entry = self._entries(flat.dictionary)
         if len(entry) == 0:
             return np.zeros(len(texts), np.int64), np.zeros(0, np.uint32)
         word = entry[flat.indices.to_numpy()]
@@ -214,8 +235,7 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(name)
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for part in parts(batch):
                 texts = part.column("text")
                 huge = np.flatnonzero(np.asarray(pc.greater(pc.utf8_length(texts), chunk)))
                 if len(huge):
