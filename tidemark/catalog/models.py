@@ -272,11 +272,7 @@ def with_forest(spark, d):
 
 
 def _combined(df, name, spec):
-    if "weights" in spec:
-        result = C.weighted_ensemble(spec["weights"])
-    else:
-        result = C.cascade(spec["layers"], ["sanity", "zscore", "iforest"])
-    return df.withColumn("predicted", result.getField("flagged")).select(
+    return df.withColumn("predicted", C.combination_flag(spec, ["sanity", "zscore", "iforest"])).select(
         F.lit(name).alias("combination"), "country", "dataset_split", "truth", "predicted")
 
 

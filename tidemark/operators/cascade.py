@@ -40,11 +40,11 @@ COMBINATIONS: dict[str, dict] = {
     "Sanity -> IF": {"layers": [layer("sanity", ["sanity"], gate=True), layer("if", ["iforest"])]},
     "Sanity -> Z": {"layers": [layer("sanity", ["sanity"], gate=True), layer("z", ["zscore"])]},
     "IF + Z 50/50": {"weights": {"iforest": 0.5, "zscore": 0.5}},
-    "Sanity -> IF + Z": {"layers": [layer("sanity", ["sanity"], gate=True), layer("both", ["iforest", "zscore"])]},
+    "Sanity -> IF + Z": {"gate": "sanity", "weights": {"iforest": 0.5, "zscore": 0.5}},
     "Sanity -> Z(>=5) -> IF": {"layers": [
-        layer("sanity", ["sanity"], gate=True), layer("z", ["zscore"], gate=True, least=5), layer("if", ["iforest"])]},
+        layer("sanity", ["sanity"], gate=True), layer("z", ["zscore"], least=5), layer("if", ["iforest"])]},
     "Sanity -> Z(>=10) -> IF": {"layers": [
-        layer("sanity", ["sanity"], gate=True), layer("z", ["zscore"], gate=True, least=10), layer("if", ["iforest"])]},
+        layer("sanity", ["sanity"], gate=True), layer("z", ["zscore"], least=10), layer("if", ["iforest"])]},
 }
 FINALISTS = ["Sanity -> Z", "Sanity -> IF", "Sanity -> Z(>=10) -> IF", "Sanity -> Z(>=5) -> IF"]
 
@@ -111,6 +111,20 @@ def weighted_ensemble(weights: dict[str, float], decide_at: float = 0.5) -> Colu
     )
 
 
+def combination_flag(spec: dict, available: Sequence[str]) -> Column:
+    """Whether a named combination flags a row.
+
+    A gate before a weighted ensemble has no weight of its own: where it fires, the
+    other members do not run, no score is left to average, and the row is not flagged.
+    """
+    if "weights" not in spec:
+        return cascade(spec["layers"], available).getField("flagged")
+    flagged = weighted_ensemble(spec["weights"]).getField("flagged")
+    if "gate" in spec:
+        flagged = flagged & ~F.coalesce(F.col(f"{spec['gate']}.flagged"), F.lit(False))
+    return flagged
+
+
 def votes_confidence(votes: DataFrame, by: Sequence[str]) -> DataFrame:
     """Share of detectors that flagged, and each detector's score.
 
