@@ -259,3 +259,12 @@ def test_agreement(spark):
     got = {(r.ean, r.competitor_id): r.cross_competitor_agreement for r in K.cross_competitor_agreement(df).collect()}
     assert got[("e", "a")] == pytest.approx(1 / 3) and got[("e", "b")] == pytest.approx(2 / 3)
     assert got[("e", "c")] == 0 and got[("f", "a")] is None
+
+
+def test_feature_differences():
+    expected = ["price", "mean", "std"]
+    assert X.feature_differences(["price", "std", "volume"], expected) == {"missing": ["mean"], "extra": ["volume"], "moved": ["std"]}
+    X.check_model_features(expected, expected, "iforest")
+    for names in (["price", "mean"], ["mean", "price", "std"], [*expected, "volume"], [*expected, "std"]):
+        with pytest.raises(ValueError, match="iforest"):
+            X.check_model_features(names, expected, "iforest")

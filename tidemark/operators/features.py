@@ -171,6 +171,22 @@ def trainable(df: DataFrame, names: Sequence[str] = tuple(TREE_FEATURES)) -> Dat
     return df.filter(finite & signal)
 
 
+def feature_differences(names: Sequence[str], expected: Sequence[str]) -> dict[str, list[str]]:
+    """Names that lack, names too many, and names at another place than a model was trained with."""
+    return {
+        "missing": [n for n in expected if n not in names],
+        "extra": [n for n in names if n not in expected],
+        "moved": [n for i, n in enumerate(names) if n in expected and (i >= len(expected) or expected[i] != n)],
+    }
+
+
+def check_model_features(names: Sequence[str], expected: Sequence[str], detector: str) -> None:
+    """Raise unless the inputs are those of the training, in its order: models know them by place."""
+    found = {k: v for k, v in feature_differences(names, expected).items() if v}
+    if found or len(names) != len(expected):
+        raise ValueError(f"{detector}: expected {len(expected)} features, got {len(names)}: {found}")
+
+
 def check_feature_names(df: DataFrame, expected: Sequence[str] = tuple(TREE_FEATURES)) -> None:
     """Raise when the frame lacks expected feature columns."""
     missing = [n for n in expected if n not in df.columns]
