@@ -52,7 +52,7 @@ def exactly(df, *names):
 def operators(labels):
     return {
         "mix": lambda d: mixing.mix(d, labels).select("doc_id", "size", "source_size", "target", "taken"),
-        "outliers": lambda d: outliers.judge(d, min_group=5).select("doc_id", "n_words", "base_failed", "kept"),
+        "outliers": lambda d: outliers.judge(d).select("doc_id", "n_words", "base_failed", "kept"),
         "winnowing": winnowing.compare_with_edit,
         "tokens": tokens.count_tokens,
         "pii": lambda d: pii.personal_data_digests(d),
@@ -92,7 +92,7 @@ def by_id(df):
 def test_defined_results(docs, labels):
     counts = by_id(tokens.count_tokens(docs))
     assert counts[100]["n_tokens"] == counts[101]["n_tokens"] == counts[102]["n_tokens"] == 0
-    judged = by_id(outliers.judge(docs, min_group=5))
+    judged = by_id(outliers.judge(docs))
     assert all(judged[i]["base_failed"] and not judged[i]["kept"] for i in (100, 101, 102, 110, 108))
     prints = by_id(winnowing.compare_with_edit(docs))
     assert prints[100]["near_next"] == 1.0  # both empty

@@ -118,6 +118,58 @@ def test_planted_outliers_go_and_the_rest_stays(spark):
     assert kept == set(range(390))
 
 
+def plain_mcd(x, h, starts=200):
+    """Smallest log determinant over concentration from random subsets."""
+    rng, best = np.random.default_rng(1), None
+    for _ in range(starts):
+        take, last = rng.choice(len(x), outliers.DIMS + 1, replace=False), np.inf
+        while True:
+            centre = x[take].mean(0)
+            cov = np.cov(x[take].T, bias=True) + np.diag(np.square(outliers.FLOOR))
+            det = np.linalg.slogdet(cov)[1]
+            if len(take) == h:
+                if det > last - 1e-9:
+                    break
+                last = det
+            y = x - centre
+            take = np.argsort(np.einsum("ij,ij->i", y @ np.linalg.inv(cov), y))[:h]
+        if best is None or last < best[0]:
+            best = (last, centre)
+    return best
+
+
+def test_minimum_determinant_beside_random_starts(spark):
+    rng = np.random.default_rng(3)
+    for trial in range(2):
+        mix = np.eye(5) + 0.3 * rng.normal(size=(5, 5))
+        x = rng.normal(size=(60, 5)) @ mix
+        x[:12] = rng.normal(size=(12, 5)) * 0.3 + 9
+        whole = np.round(x * outliers.GRID).astype(int)
+        frame = spark.createDataFrame([("g", *map(int, r)) for r in whole], "grp STRING, " + ", ".join(f"{f} LONG" for f in outliers.FEATURES))
+        got = outliers.minimum_determinant(frame).first()
+        best, centre = plain_mcd(whole / outliers.GRID, 45)
+        # A whole bin of distances enters, so a vector more than 45 may count.
+        assert abs(got.log_det - best) < 0.6
+        cov = np.zeros((5, 5))
+        for k, (i, j) in enumerate(outliers.PAIRS):
+            cov[i, j] = cov[j, i] = got.cov[k]
+        y = whole / outliers.GRID - np.array(got.centre)
+        d = np.einsum("ij,ij->i", y @ np.linalg.inv(cov), y)
+        assert d[:12].min() > d[12:].max(), trial
+
+
+def test_small_groups_lean_on_their_language_at_every_size(spark):
+    rng = np.random.default_rng(5)
+    def rows(n, pair, shift):
+        return [([pair, "langx", "all"], *map(int, np.round((rng.normal(size=5) + shift) * outliers.GRID))) for _ in range(n)]
+    given = rows(2000, "big", 0.0) + rows(1, "one", 3.0) + rows(50, "even", 3.0)
+    frame = spark.createDataFrame(given, "levels ARRAY<STRING>, " + ", ".join(f"{f} LONG" for f in outliers.FEATURES))
+    got = {r.grp: r.centre for r in outliers.estimates(frame, 0.75, 8, 50).collect()}
+    assert set(got) == {"big", "one", "even"}
+    assert abs(np.mean(got["big"])) < 0.1 and abs(np.mean(got["one"])) < 0.2
+    assert 1.0 < np.mean(got["even"]) < 2.0
+
+
 # 3: winnowing
 
 def test_winnowing_takes_rightmost_minima(docs):
