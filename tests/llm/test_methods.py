@@ -299,6 +299,36 @@ def test_base_spans_equal_plain_patterns(spark):
         assert [(s.kind, s.start, s.end) for s in r.base] == plain_spans(many[r.doc_id])
 
 
+def test_spans_without_overlap_and_first_of_each_equal_plain_search(spark):
+    rng = random.Random(8)
+    draw = lambda n: [(s, s + rng.randint(1, 9)) for s in (rng.randint(0, 900) for _ in range(n))]
+    given = [(i, draw(n), draw(m)) for i, (n, m) in enumerate([(0, 0), (0, 9), (9, 0), (1, 1), (40, 60), (300, 40), (700, 20)])]
+    span = "ARRAY<STRUCT<start: INT, end: INT>>"
+    frame = spark.createDataFrame(given, f"doc_id INT, a {span}, b {span}")
+    kinds = F.transform("a", lambda x: F.struct(F.lit("card").alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    for r in frame.select("doc_id", "a", "b", pii.without_overlap(F.col("a"), F.col("b")).alias("free"), pii._first_of_each(kinds).alias("first")).collect():
+        a, b = [tuple(x) for x in r.a], [tuple(x) for x in r.b]
+        assert sorted(tuple(x) for x in r.free) == sorted(x for x in a if not any(x[0] < y[1] and y[0] < x[1] for y in b))
+        want, at = [], 0
+        for s, e in sorted(a, key=lambda x: (x[0], -x[1])):
+            if s >= at:
+                want.append((s, e))
+                at = e
+        assert [(x.start, x.end) for x in r["first"]] == want
+
+
+def test_long_texts_keep_places_and_context(spark):
+    one = "call 0171-555-%04d, mail bob(at)example.com, from 10.0.0.7 on é; "
+    text = "".join(one % i for i in range(3000))
+    frame = spark.createDataFrame([(text,)], "text STRING")
+    for pattern in (pii.CANDIDATES["number"], pii.CANDIDATES["address"], pii.PATTERNS["ip"]):
+        got = frame.select(pii.find_spans(F.col("text"), pattern).alias("s")).first().s
+        assert len(got) >= 3000
+        for x in got:
+            assert text[x.start : x.end] == x.found and text[max(0, x.start - pii.CONTEXT_CHARS) : x.start] == x.before
+            assert text[x.end : x.end + 1] == x.after
+
+
 def test_trees_add_lookalikes_and_leave_other_numbers(spark):
     rng = random.Random(1)
     rows = []
