@@ -1,5 +1,6 @@
 """Each method beside a plain implementation."""
 
+import itertools
 import random
 import re
 import zlib
@@ -420,16 +421,45 @@ def test_classes_equal_all_pairs(spark):
     assert {r.doc_id: r.class_id for r in B.duplicate_classes(frame).collect()} == plain_classes(texts)
 
 
-def test_bucket_links_connect_what_all_pairs_connect(spark, monkeypatch):
-    monkeypatch.setattr(B, "PIVOTS", 2)
-    texts = varied_copies(7, groups=2, each=40)
+def marked_rows(texts):
+    """(id, weight, parity marks) of each text."""
+    weight, marks, begin = B.parity_marks(*B.bags(pa.array(list(texts.values()))), len(texts))
+    return [(i, int(weight[k]), marks[begin[k] : begin[k + 1]].tolist()) for k, i in enumerate(texts)]
+
+
+def test_bucket_roots_connect_what_all_pairs_connect(spark, monkeypatch):
+    texts = varied_copies(7, groups=2, each=20)
     nodes = spark.createDataFrame(list(texts.items()), "node LONG, text STRING")
     members = nodes.select(F.lit(1).cast("long").alias("bucket"), "node")
-    t, e, c = B.bags(pa.array(list(texts.values())))
-    marks = B.sketch(B.signatures(t, e, c, len(texts))).tolist()
-    sketches = spark.createDataFrame(list(zip(texts, marks, strict=True)), "node LONG, sketch ARRAY<LONG>")
-    rooted = {r.node: r.root for r in B.components(B.bucket_links(members, nodes, sketches)).collect()}
-    assert {i: rooted.get(i, i) for i in texts} == plain_classes(texts)
+    marked = spark.createDataFrame(marked_rows(texts), "node LONG, n LONG, marks ARRAY<LONG>")
+    for pivots, strangers in ((20, 5), (1024, 256)):
+        monkeypatch.setattr(B, "PIVOTS", pivots)
+        monkeypatch.setattr(B, "SLICE_STRANGERS", strangers)
+        rooted = {r.node: r.root for r in B.bucket_roots(members, nodes, marked).collect()}
+        assert {i: rooted.get(i, i) for i in texts} == plain_classes(texts)
+
+
+def test_parity_marks_never_drop_a_similar_pair(spark):
+    rng, texts = random.Random(12), {}
+    for k in range(240):
+        # Lengths either side of a power of two, so that marks of unlike sizes meet; repeated words give counts above one.
+        base = [f"b{k % 6}w{(j * j) % 97}" for j in range(rng.choice([6, 60, 76, 80, 84, 130]))] + ["again"] * rng.choice([0, 9])
+        for _ in range(rng.randint(0, 6)):
+            base[rng.randrange(len(base))] = f"n{rng.random()}"
+        texts[k] = " ".join(base)
+    rows = spark.createDataFrame(marked_rows(texts), "node LONG, n LONG, marks ARRAY<LONG>")
+    other = rows.toDF("other", "other_n", "other_marks")
+    may = B.may_reach(F.col("marks"), F.col("other_marks"), F.col("n"), F.col("other_n"), 0.8)
+    passed = {(r.node, r.other) for r in rows.join(other, F.col("node") < F.col("other")).filter(may).collect()}
+    bags = {i: bag(t) for i, t in texts.items()}
+    alike = set()
+    for a, b in itertools.combinations(texts, 2):
+        both, total = sum((bags[a] & bags[b]).values()), sum((bags[a] | bags[b]).values())
+        if both >= 0.8 * total:
+            alike.add((a, b))
+    sizes = {r[0]: len(r[2]) for r in marked_rows(texts)}
+    assert any(sizes[a] != sizes[b] for a, b in alike)
+    assert alike <= passed and len(passed) < 2 * len(alike)
 
 
 # 7: pieces

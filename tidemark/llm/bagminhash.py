@@ -12,7 +12,7 @@ the processes early.
 
 Registers are banded; texts that share a band are candidates and are verified by
 exact multiset overlap. Instead of all pairs of a band bucket, members are
-compared with a pivot; see ``bucket_links``.
+compared with a pivot; see ``bucket_roots``.
 """
 
 from __future__ import annotations
@@ -33,12 +33,14 @@ SHINGLE, SIMILARITY = 5, 0.8
 # At similarity 0.8 a pair shares no band with probability 5e-4, at 0.85 with 2e-5: (1 - s^7)^32.
 BANDS, BAND_ROWS = 32, 7
 REGISTERS = BANDS * BAND_ROWS
-# Strangers are compared by sketches of their registers before their texts are. At similarity 0.8 some 182 of 224
-# registers agree in four bits (standard deviation 5.8); fewer than 164 do with probability 1e-3.
-PLANES, PLANE_WORDS, AGREEING = 4, -(-REGISTERS // 64), 164
+# Bits of a text's parity marks for each of its shingles; few of the at most 2/9 of them in which texts of similarity
+# 0.8 differ fall together then.
+MARK_BITS = 4
 BATCH_ROWS = 1_000
 # Strangers of a bucket that become pivots in one round, at most.
 PIVOTS = 1024
+# Strangers of a bucket for each slice that its members are dealt to when they meet the pivots.
+SLICE_STRANGERS = 256
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,28 +135,44 @@ def band_hashes(held: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sketch(held: np.ndarray) -> np.ndarray:
-    """Four bits of every register, as 64-bit words plane by plane, to count agreeing registers fast."""
-    bits = mix(held.view(np.uint64))
-    planes = []
-    for p in range(PLANES):
-        packed = np.packbits(((bits >> np.uint64(p)) & np.uint64(1)).astype(np.uint8), axis=1)
-        padded = np.zeros((len(held), PLANE_WORDS * 8), np.uint8)
-        padded[:, : packed.shape[1]] = packed
-        planes.append(padded.view(np.int64))
-    return np.hstack(planes)
+def parity_marks(text: np.ndarray, element: np.ndarray, count: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of the texts, their marks one behind the other, and where each one's marks begin (64-bit words).
 
+    Every occurrence of a shingle flips one bit, chosen by its hash. Two texts'
+    marks differ in no more bits than the texts differ in occurrences, whatever
+    falls together. The number of bits is a power of two near the weight, and the
+    marks of half as many bits are the two halves' exclusive or.
+    """
+    weight = np.bincount(text, weights=count, minlength=texts).astype(np.int64)
+    words = 1 << np.ceil(np.log2(np.maximum(weight * MARK_BITS / 64, 1))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(words)])
+    owner = np.repeat(text, count)
+    turn = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        spot = mix(np.repeat(element, count) + _GOLD * (turn.astype(np.uint64) + np.uint64(1)))
+    bit = (spot & (words[owner] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    marks = np.zeros(begin[-1], np.uint64)
+    np.bitwise_xor.at(marks, begin[owner] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return weight, marks.view(np.int64), begin
+
+
+def may_reach(x: Column, y: Column, x_weight: Column, y_weight: Column, threshold: float) -> Column:
+    """Whether two texts can have similarity ``threshold``, by their parity marks: false only where they cannot.
+
+    Similarity s means that they differ in (1 - s) / (1 + s) of all their
+    occurrences, and weights and marks differ in no more than that.
+    """
+    differ = (x_weight + y_weight) * ((1.0 - threshold) / (1.0 + threshold)) + 1e-6
+    words = F.least(F.size(x), F.size(y))
+
+    def folded(marks: Column) -> Column:
+        halves = F.zip_with(F.slice(marks, F.lit(1), words), F.slice(marks, words + 1, words), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(marks) == words, marks).otherwise(halves)
 
-def agreement(x: Column, y: Column) -> Column:
-    """Registers whose bits agree in two sketches."""
-    total = F.lit(0)
-    for w in range(PLANE_WORDS):
-        same = F.lit(-1).cast("bigint")
-        for p in range(PLANES):
-            i = p * PLANE_WORDS + w
-            same = same.bitwiseAND(F.bitwise_not(x[i].bitwiseXOR(y[i])))
-        total = total + F.bit_count(same)
-    return total - (PLANE_WORDS * 64 - REGISTERS)
+    # Weights this near differ by less than half, so one has at most twice the bits of the other.
+    unlike = F.aggregate(F.zip_with(folded(x), folded(y), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, v: n + v)
+    near = F.abs(x_weight - y_weight) <= differ
+    return near & ((F.greatest(F.size(x), F.size(y)) > 2 * words) | (unlike <= differ))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +182,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text, element, count = bags(part.column("text"))
             held = signatures(text, element, count, part.num_rows)
             bands = band_hashes(held)
-            some = np.bincount(text, minlength=part.num_rows) > 0
-            # The sketch follows the bands in one array.
-            marks = np.hstack([bands, sketch(held)])
-            rows = pa.array([b if s else [] for b, s in zip(marks, some, strict=True)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("node"), rows], ["doc_id", "node", "bands"])
+            weight, marks, begin = parity_marks(text, element, count, part.num_rows)
+            bands = pa.array([b if w else [] for b, w in zip(bands, weight, strict=True)], pa.list_(pa.int64()))
+            marks = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(marks))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("node"), bands, pa.array(weight), marks], ["doc_id", "node", "bands", "weight", "marks"]
+            )
 
 
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -205,16 +224,17 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a bigint, b bigint, similarity double")
 
 
-def bucket_links(members: DataFrame, texts: DataFrame, sketches: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """Verified links (a, b) that connect whatever the buckets' pairs of ``threshold`` or more connect.
+def bucket_roots(members: DataFrame, texts: DataFrame, marked: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """Components (node, root) of the buckets' pairs of ``threshold`` or more; a node alone may be left out.
 
-    ``members``: bucket, node; ``sketches``: node, sketch. First a bucket compares its members with one
+    ``members``: bucket, node; ``marked``: node, n, marks. First a bucket compares its members with one
     pivot. Who is then connected with the pivot, by whatever links, is at home.
     The others, strangers, become pivots of later rounds, some at a time, and are
     compared with the members they are not connected with, as far as these can be
     like them: 1 - similarity is a metric, so distances from the first pivot must
-    not differ by more than 1 - threshold, and as far as enough of their registers
-    agree (``AGREEING``). A bucket without strangers is done.
+    not differ by more than 1 - threshold, and their parity marks must not differ
+    in more bits than the threshold leaves (``may_reach``). Neither drops a pair of
+    ``threshold``. A bucket without strangers is done.
     """
     reach = 1.0 - threshold + 1e-9
     # The text that meets most others is near the middle of its group and the best pivot for it.
@@ -229,37 +249,61 @@ def bucket_links(members: DataFrame, texts: DataFrame, sketches: DataFrame, thre
     active = held.withColumn("a", F.least("node", "home")).withColumn("b", F.greatest("node", "home")).join(
         distances, ["a", "b"]
     ).select("bucket", "node", "home", "d", "weight")
+    roots = components(known.filter(F.col("similarity") >= threshold).select("a", "b"))
     while True:
-        links = known.filter(F.col("similarity") >= threshold).select("a", "b")
-        roots = components(links)
         active = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         homes = roots.select(F.col("node").alias("home"), F.col("root").alias("home_root"))
         active = active.join(homes, "home", "left").withColumn("stranger", F.col("root") != F.coalesce("home_root", "home"))
-        spread = active.filter("stranger").groupBy("bucket").agg(F.min("d").alias("_low"), F.max("d").alias("_high"))
+        spread = active.filter("stranger").groupBy("bucket").agg(
+            F.min("d").alias("_low"), F.max("d").alias("_high"), F.count(F.lit(1)).alias("strangers")
+        )
         active = persist_table(
             active.join(spread, "bucket").filter(
                 F.col("stranger") | ((F.col("d") >= F.col("_low") - reach) & (F.col("d") <= F.col("_high") + reach))
-            ).select("bucket", "node", "home", "d", "weight", "root", "stranger"), "bucket-rest",
+            ).select("bucket", "node", "home", "d", "weight", "root", "stranger", "strangers"), "bucket-rest",
         )
-        pivots = active.filter("stranger").groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("_r")).agg(
-            F.max(F.struct("weight", "node", "d", "root")).alias("p")
-        ).select("bucket", F.col("p.node").alias("other"), F.col("p.d").alias("other_d"), F.col("p.root").alias("other_root"))
+        turn = F.when(F.col("strangers") > PIVOTS, F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).otherwise(F.col("node"))
+        pivots = active.filter("stranger").groupBy("bucket", turn.alias("_r")).agg(
+            F.max(F.struct("weight", "node", "d", "root", "strangers")).alias("p")
+        ).select("bucket", *[F.col(f"p.{c}").alias(f"other_{c}" if c != "node" else "other") for c in ("node", "d", "root", "strangers")])
         pivots = persist_table(pivots, "bucket-pivots")
         if pivots.isEmpty():
-            return links
-        others = pivots.join(sketches.select(F.col("node").alias("other"), F.col("sketch").alias("other_sketch")), "other")
-        likely = active.join(sketches, "node").join(others, "bucket").filter(
+            return roots
+        others = pivots.join(marked.select(F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("marks").alias("other_marks")), "other")
+        # Every slice of a crowded bucket meets all its pivots; the number of tasks follows the comparisons, not the bytes.
+        slices = lambda n: F.ceil(F.col(n) / SLICE_STRANGERS)
+        others = others.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), slices("other_strangers") - 1)))
+        dealt = active.join(marked, "node").withColumn("slice", F.pmod(F.xxhash64("node"), slices("strangers"))).repartition(
+            int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "slice"
+        )
+        likely = dealt.join(others, ["bucket", "slice"]).filter(
             (F.col("root") != F.col("other_root")) & (F.abs(F.col("d") - F.col("other_d")) <= reach)
-            & (agreement(F.col("sketch"), F.col("other_sketch")) >= AGREEING)
+            & may_reach(F.col("marks"), F.col("other_marks"), F.col("n"), F.col("other_n"), threshold)
         )
         pairs = likely.select(*pair).distinct().join(known, ["a", "b"], "left_anti")
         new = persist_table(verified(pairs, texts), "verified-pairs")
         known = persist_table(known.unionByName(new), "known-pairs")
+        roots = joined_roots(roots, new.filter(F.col("similarity") >= threshold))
         active = active.join(pivots.select("bucket", F.col("other").alias("node")), ["bucket", "node"], "left_anti").select(
             "bucket", "node", "home", "d", "weight"
         )
 
 
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) with the components that ``links`` (a, b) join made one; only their roots are walked."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    between = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")
+    ).filter("a != b")
+    between = persist_table(between, "new-links")
+    if between.isEmpty():
+        return roots
+    moved = components(between)
+    kept = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_to")), "root", "left")
+    single = moved.join(roots, "node", "left_anti").select("node", "root")
+    return persist_table(kept.select("node", F.coalesce("_to", "root").alias("root")).union(single), "roots")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for the nodes of ``edges`` (a, b).
 
@@ -301,9 +345,13 @@ def duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
     """
     node = F.xxhash64(F.sha2(text_of(), 256))
     rows = shield(docs).select(F.col("doc_id").cast("long").alias("doc_id"), node.alias("node"), text_of().alias("text"))
-    signed = persist_table(rows.mapInArrow(_sign, "doc_id bigint, node bigint, bands array<bigint>"), "signatures")
-    nodes = persist_table(signed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")), "texts")
-    members = nodes.select("node", F.explode(F.slice("bands", 1, BANDS)).alias("bucket"))
+    signed = persist_table(rows.mapInArrow(
+        _sign, "doc_id bigint, node bigint, bands array<bigint>, weight bigint, marks array<bigint>"
+    ), "signatures")
+    nodes = persist_table(signed.groupBy("node").agg(
+        F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("weight").alias("n"), F.first("marks").alias("marks")
+    ), "texts")
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
     crowded = members.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = persist_table(members.join(crowded, "bucket"), "buckets")
     involved = members.select("node").distinct()
@@ -311,10 +359,8 @@ def duplicate_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFra
     chosen = nodes.join(involved, "node").select("node", F.col("first_id").alias("_id"))
     picked = rows.join(chosen.withColumnRenamed("node", "_n"), (F.col("node") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     texts = persist_table(picked.groupBy("node").agg(F.first("text").alias("text")), "candidate-texts")
-    sketches = nodes.filter(F.size("bands") > 0).join(involved, "node").select(
-        "node", F.slice("bands", BANDS + 1, PLANES * PLANE_WORDS).alias("sketch")
-    )
-    rooted = components(bucket_links(members, texts, sketches, threshold))
+    marked = nodes.join(involved, "node").select("node", "n", "marks")
+    rooted = bucket_roots(members, texts, marked, threshold)
     named = nodes.select("node", "first_id").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
     classes = persist_table(named.join(heads, "root").select("node", "class_id", "root"), "classes")
