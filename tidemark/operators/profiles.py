@@ -86,8 +86,12 @@ def excluded_series(df: DataFrame, keys: Sequence[str], by: str, minimum: int) -
     """Excluded series per ``by``: share, median first sighting and price variation."""
     series = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("c"), F.min("seen_at").alias("first"),
-        (F.stddev_samp("price") / F.avg("price")).alias("cv"),
+        F.stddev_samp("price").alias("_std"), F.avg("price").alias("_mean"),
     )
+    # The variation of a series of zeros is 0 / 0, not a number: it sorts above all others.
+    share = F.when(F.col("_mean") != 0, F.col("_std") / F.nullif("_mean", F.lit(0.0)))
+    share = share.when(F.col("_std") > 0, float("inf")).when(F.col("_std") == 0, float("nan"))
+    series = series.withColumn("cv", share)
     out = F.col("c") < minimum
     base = series.groupBy(by).agg(
         F.count_if(out).alias("excluded"), F.count(F.lit(1)).alias("total"),
