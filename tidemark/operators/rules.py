@@ -47,11 +47,18 @@ class Baseline:
         return self._memo[name]
 
     def mean_std(self) -> tuple[float, float]:
+        # One sum and Welford's squares, in order: the SQL aggregates to the last bit,
+        # which decides where a z-score meets a threshold exactly.
         def compute(p):
-            mean = math.fsum(p) / len(p)
-            if min(p) == max(p):
+            total = mean = squares = 0.0
+            for n, x in enumerate(p, 1):
+                before = mean
+                mean += (x - mean) / n
+                squares += (x - mean) * (x - before)
+                total += x
+            if squares == 0.0:
                 return p[0], 0.0
-            return mean, math.sqrt(math.fsum([(x - mean) * (x - mean) for x in p]) / (len(p) - 1))
+            return total / len(p), math.sqrt(squares / (len(p) - 1))
         return self._once("mean_std", compute)
 
     def ordered(self) -> list[float]:
