@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import hash_uniform
 from tidemark.operators.history import last_rows
-from tidemark.plans.skew import hash_cut, join_small, null_safe_join, up_to_cut
+from tidemark.plans.skew import hash_cut, join_small, null_safe_join, small_table, up_to_cut
 
 SCOPES = {
     "competitor": ["competitor_id"],
@@ -70,7 +70,7 @@ def split_observations(
     limits = sizes.select(
         *by, F.when(F.col("_products") > 1, F.ceil(F.col("_products") * F.lit(share))).otherwise(0).alias("_limit")
     )
-    cut = hash_cut(products, by, "_u", product, limits)
+    cut = small_table(hash_cut(products, by, "_u", product, limits), "split-cut")
     # Start of each product's hold-out: the oldest of its newest rows, a rank limit Spark applies early.
     start = last_rows(df.select(*by, product, *order), [*by, product], order, last_n).groupBy(*by, product).agg(
         F.min(F.struct(*order)).alias("_start")
