@@ -362,6 +362,19 @@ def test_national_phones_and_spelt_addresses_are_added(spark):
     assert [text[x.start : x.end] for x in got.added] == ["(456) 555-2186", "555-218-6412", "joe (at) site (dot) org"]
 
 
+def test_trees_learn_from_all_examples(spark):
+    """Cards whose examples come last in the hash order, after more than 20,000 others."""
+    rng = random.Random(5)
+    n = lambda k: str(rng.randint(10 ** (k - 1), 10**k - 1))
+    rows = [(i, f"see +1 ({n(3)}) {n(3)}-{n(4)} and me{i}@site{i % 9}.example.org on 2021-0{i % 9 + 1}-1{i % 9} item {n(4)}:{n(3)}:{n(4)}") for i in range(2500)]
+    last = spark.range(10_000, 60_000).orderBy(F.xxhash64("id", F.lit(5), F.lit(24), F.lit("card")).desc()).limit(200)
+    rows += [(r.id, "paid 4111 1111 1111 1111 for it") for r in last.collect()]
+    frame = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    base = F.concat(*[pii.found_base(F.col("text"), k) for k in pii.KINDS])
+    assert frame.select(F.explode(pii.examples(F.col("text"), base))).count() > 20_000
+    assert "card" in pii.train(frame).cuts
+
+
 # 6: near duplicates
 
 def test_registers_are_unbiased():

@@ -3,10 +3,10 @@
 Wide patterns propose spans, which may overlap: anything written like an address
 or like a number of seven digits or more. Boosted trees judge a candidate by its
 form (digits, separators, groups, check digit) and its surroundings. They learn
-from a bounded sample of base spans written in other forms (without the country
-code, spelt out, other separators), of such forms spoilt, and of candidates that
-context words or their form decide; whether a base span lies on a candidate is
-never its label. A cut per kind is calibrated on held-out spans. Accepted
+from all base spans written in other forms (without the country code, spelt out,
+other separators), from such forms spoilt, and from candidates that context words
+or their form decide; whether a base span lies on a candidate is never its label.
+A cut per kind is calibrated on held-out spans. Accepted
 candidates are added where no base span lies. Patterns, features and trees are column expressions.
 """
 
@@ -42,8 +42,9 @@ SORT_HINTS = {"address": r"@|[(\[]at[)\]]", "number": "[0-9]"}
 CONTEXT_CHARS = 24
 # Elements of an array that are folded at once.
 SCAN_BLOCK = 128
-# Candidates used for fitting, chosen by a hash: the bound of the sample. A quarter is held out.
-SAMPLE_ROWS, TREES, DEPTH, SEED = 20_000, 20, 3, 7
+TREES, DEPTH, SEED = 20, 3, 7
+# Sorts of equal examples that a task fits on, and the least number of bins of a feature.
+FIT_ROWS, BINS = 100_000, 256
 PRECISION = 0.995
 # Three groups as national numbers have them. Of its own this is no evidence for or against.
 PHONE_FORM = r"^\(?[0-9]{2,4}\)?[\x20.-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4}$"
@@ -291,26 +292,36 @@ class Judge:
         return self.probability(candidate["x"]) >= cut
 
 
-def train(docs: DataFrame, sample: int = SAMPLE_ROWS, precision: float = PRECISION) -> Judge | None:
-    """Fit on at most ``sample`` examples; None where they are all of one sort."""
+def train(docs: DataFrame, precision: float = PRECISION) -> Judge | None:
+    """Fit on three quarters of all examples, set the cuts on the rest; None where they are all of one sort.
+
+    Equal examples are one row that weighs their number.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     text = text_of()
     rows = shield(docs).filter(text.rlike(r"[0-9@]|[(\[]at[)\]]")).select("doc_id", text.alias("text")).withColumn("base", F.concat(*[found_base(F.col("text"), k) for k in KINDS]))
     proposed = rows.select("doc_id", F.explode(examples(F.col("text"), F.col("base"))).alias("c")).select(
-        "c.kind", "c.label", "c.x", F.xxhash64("doc_id", "c.start", "c.end", "c.kind").alias("u")
+        "c.kind", "c.label", "c.x", (F.pmod(F.xxhash64("doc_id", "c.start", "c.end", "c.kind"), F.lit(4)) == 0).alias("held")
     )
-    drawn = persist_table(proposed.orderBy("u", "kind", "label", "x").limit(sample), "pii-sample")
-    fit = drawn.filter(F.pmod("u", F.lit(4)) != 0).select(array_to_vector("x").alias("features"), "label")
+    counted = proposed.groupBy("held", "kind", "label", "x").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    known = persist_table(counted, "pii-examples")
+    fit = known.filter(~F.col("held"))
     if fit.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED).fit(fit)
+    sorts = fit.count()
+    # In one order, so that sums and with them the trees are the same in every run.
+    dealt = fit.repartition(sorts // FIT_ROWS + 1, "label", "x").sortWithinPartitions("kind", "label", "x")
+    # Split points are looked for among as many rows as the square of the bins: here among all.
+    bins = max(BINS, int(sorts**0.5) + 1)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=SEED, maxBins=bins, weightCol="weight").fit(
+        dealt.select(array_to_vector("x").alias("features"), "label", "weight")
+    )
     judge = Judge(model, {})
-    held = drawn.filter(F.pmod("u", F.lit(4)) == 0)
     # One row per kind and thousandth of probability.
-    steps = held.groupBy("kind", F.floor(judge.probability(F.col("x")) * 1000).alias("p")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("label").cast("int")).alias("hits")
+    steps = known.filter("held").groupBy("kind", F.floor(judge.probability(F.col("x")) * 1000).alias("p")).agg(
+        F.sum("weight").alias("n"), F.sum(F.col("label") * F.col("weight")).alias("hits")
     ).collect()
     for kind in KINDS:
         n = hits = 0
