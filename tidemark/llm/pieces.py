@@ -108,8 +108,9 @@ class PieceEncoder(WordEncoder):
         ]
         self._clear()
 
-    def _key(self, word: str) -> str:
-        return word
+    def _keys(self, words: pa.Array) -> pa.Array:
+        # This model tells capitals from small letters.
+        return words
 
     def split(self, texts: pa.Array) -> pa.Array:
         """Words with the run of spaces before them; a plain word stands for one space and the word."""
