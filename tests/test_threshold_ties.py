@@ -15,6 +15,7 @@ QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 NAMES = [
     "binary_metrics_by_country",
     "detect_zscore",
+    "detector_metrics",
     "gated_zscore",
 ]
 # Discounts of four prices in any order and of the price 2.9 deviations away.
