@@ -14,6 +14,7 @@ from check_oracles import rows_of
 QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 NAMES = [
     "binary_metrics_by_country",
+    "cascade_default_without_model",
     "detect_ensemble",
     "detect_zscore",
     "detector_metrics",
