@@ -15,6 +15,7 @@ QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 NAMES = [
     "binary_metrics_by_country",
     "cascade_default_without_model",
+    "cascade_minimal",
     "detect_ensemble",
     "detect_zscore",
     "detector_metrics",
