@@ -16,6 +16,7 @@ NAMES = [
     "binary_metrics_by_country",
     "cascade_default_without_model",
     "cascade_minimal",
+    "cascade_statistical_only",
     "detect_ensemble",
     "detect_zscore",
     "detector_metrics",
