@@ -17,6 +17,7 @@ NAMES = [
     "cascade_default_without_model",
     "cascade_minimal",
     "cascade_statistical_only",
+    "combined_case_metrics",
     "detect_ensemble",
     "detect_zscore",
     "detector_metrics",
