@@ -25,6 +25,7 @@ NAMES = [
     "joined_truth_metrics",
     "layer_history_bounds",
     "one_vs_rest_type_metrics",
+    "pooled_dataset_metrics",
 ]
 # Discounts of four prices in any order and of the price 2.9 deviations away.
 TIES = [((0, 2, 3, 6), 10), ((4, 7, 8, 10), 0)]
