@@ -21,6 +21,7 @@ NAMES = [
     "detect_ensemble",
     "detect_zscore",
     "detector_metrics",
+    "gated_cascade_minimal",
     "gated_zscore",
     "joined_truth_metrics",
     "layer_history_bounds",
