@@ -10,6 +10,7 @@ SF = pathlib.Path("/root/testdata/sf0.01")
 QUERIES = entry_points.queries()
 NAMES = [
     "detection_rate_by_type",
+    "best_threshold_by_g_mean",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
