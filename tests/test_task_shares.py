@@ -11,6 +11,7 @@ QUERIES = entry_points.queries()
 NAMES = [
     "detection_rate_by_type",
     "best_threshold_by_g_mean",
+    "comparison_means",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
