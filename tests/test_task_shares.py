@@ -12,6 +12,7 @@ NAMES = [
     "detection_rate_by_type",
     "best_threshold_by_g_mean",
     "comparison_means",
+    "detector_overlap",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
