@@ -13,6 +13,7 @@ NAMES = [
     "best_threshold_by_g_mean",
     "comparison_means",
     "detector_overlap",
+    "family_dominance",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
