@@ -14,6 +14,7 @@ NAMES = [
     "comparison_means",
     "detector_overlap",
     "family_dominance",
+    "forest_threshold_sweep",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
