@@ -15,6 +15,7 @@ NAMES = [
     "detector_overlap",
     "family_dominance",
     "forest_threshold_sweep",
+    "greedy_order_by_catches",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
