@@ -16,6 +16,7 @@ NAMES = [
     "family_dominance",
     "forest_threshold_sweep",
     "greedy_order_by_catches",
+    "metrics_by_history_bucket",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
