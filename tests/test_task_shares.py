@@ -17,6 +17,7 @@ NAMES = [
     "forest_threshold_sweep",
     "greedy_order_by_catches",
     "metrics_by_history_bucket",
+    "nearest_to_default",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
