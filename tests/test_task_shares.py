@@ -18,6 +18,7 @@ NAMES = [
     "greedy_order_by_catches",
     "metrics_by_history_bucket",
     "nearest_to_default",
+    "optimal_threshold_by_level",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
