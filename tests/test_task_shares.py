@@ -19,6 +19,7 @@ NAMES = [
     "metrics_by_history_bucket",
     "nearest_to_default",
     "optimal_threshold_by_level",
+    "ranking_agreement",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
