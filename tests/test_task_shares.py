@@ -20,6 +20,7 @@ NAMES = [
     "nearest_to_default",
     "optimal_threshold_by_level",
     "ranking_agreement",
+    "recall_stability",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
