@@ -21,6 +21,7 @@ NAMES = [
     "optimal_threshold_by_level",
     "ranking_agreement",
     "recall_stability",
+    "scope_weighted_means",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
