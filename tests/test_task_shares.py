@@ -22,6 +22,7 @@ NAMES = [
     "ranking_agreement",
     "recall_stability",
     "scope_weighted_means",
+    "split_summary",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
