@@ -23,6 +23,7 @@ NAMES = [
     "recall_stability",
     "scope_weighted_means",
     "split_summary",
+    "subsampling_adequacy",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
