@@ -24,6 +24,7 @@ NAMES = [
     "scope_weighted_means",
     "split_summary",
     "subsampling_adequacy",
+    "threshold_sweep",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
