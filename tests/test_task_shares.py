@@ -25,6 +25,7 @@ NAMES = [
     "split_summary",
     "subsampling_adequacy",
     "threshold_sweep",
+    "threshold_trends",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
