@@ -26,6 +26,7 @@ NAMES = [
     "subsampling_adequacy",
     "threshold_sweep",
     "threshold_trends",
+    "tuning_sweep_round_trip",
 ]
 SETTINGS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
