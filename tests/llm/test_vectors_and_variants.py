@@ -202,3 +202,13 @@ def test_near_words_share_a_signature():
         assert set(a) & set(b)
         c, d = variants.signatures([word, other], first=2, second=4)
         assert set(c) & set(d)
+
+
+def test_variants_broadcast_no_words(spark):
+    """A word table far under the broadcast threshold unfolds thirtyfold in its signatures."""
+    frame = spark.createDataFrame(spelt(), "doc_id LONG, text STRING")
+    words = variants.word_counts(frame).cache()
+    words.count()
+    for made in (variants.near_pairs(words), variants.group_variants(frame)):
+        made.collect()
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()

@@ -199,6 +199,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), marks], ["word", "n", "marks"])
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that Spark never broadcasts, whatever size it expects.
+
+    Its estimates do not know that ``explode`` makes thirty rows of one nor how far a word table
+    unfolds from its file, so a table just under the broadcast threshold would fill the driver.
+    """
+    return df.hint("merge")
+
+
 def near(a: Column, b: Column) -> Column:
     """One inserted, deleted or replaced code point apart, exactly."""
     return F.levenshtein(a, b, 1) == 1
@@ -213,7 +222,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     signed = words.mapInArrow(_sign, "word string, n bigint, marks array<bigint>").select("word", "n", F.explode("marks").alias("mark"))
     left = signed.select("mark", F.col("word").alias("a"), F.col("n").alias("a_n"))
     right = signed.select("mark", F.col("word").alias("b"), F.col("n").alias("b_n"))
-    met = left.join(right, "mark").filter((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b")))
+    met = left.join(by_shuffle(right), "mark").filter((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b")))
     pairs = met.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
     sides = F.explode(F.array(
         F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("other"), F.col("b_n").alias("other_n")),
@@ -231,7 +240,7 @@ def roots(forms: DataFrame) -> DataFrame:
     known = persist_table(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = known.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        further = known.join(onward, "root", "left")
+        further = known.join(by_shuffle(onward), "root", "left")
         known = persist_table(further.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if known.filter("moved").isEmpty():
             return known.select("word", "root")
@@ -255,7 +264,9 @@ def group_variants(docs: DataFrame) -> DataFrame:
     seen = pairs.groupBy("word").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("n_near"), best.alias("best"))
     seen = persist_table(seen.select("word", "n", "n_near", F.col("best.other").alias("other"), (-F.col("best.less")).alias("other_n")), "near-words")
     forms = seen.filter(F.col("other_n") >= FORM_RATIO * F.col("n")).select("word", F.col("other").alias("form"), F.col("other_n").alias("form_n"))
-    known = words.join(seen.select("word", "n_near"), "word", "left").join(forms, "word", "left").join(roots(forms), "word", "left")
+    known = words
+    for side in (seen.select("word", "n_near"), forms, roots(forms)):
+        known = known.join(by_shuffle(side), "word", "left")
     return known.select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n"
     )
