@@ -62,6 +62,35 @@ def test_counts_and_errors(spark, rows):
     assert {(r.status, r.message, r.tp) for k, r in got.items() if k[1] == "bad"} == {("error", "ValueError: no more", None)}
 
 
+def test_measured_rules_count_without_a_call_each(spark, rows):
+    """All families' grids from one look a kind: the counts of the rules called one by one."""
+    grid = {W.candidate_id(f, p): W.rule_of(f, p) for f in W.FAMILIES for p in W.coarse_grid(f)}
+    states = G.baseline_states(rows.filter("obs_id < '1-020'"), ["product_id"], ORDER)
+
+    def uncalled(rule):
+        def called(price, base, row):
+            raise AssertionError("called")
+
+        return R.measured(called, rule.kind, rule.cut, rule.reach)
+
+    def unmeasured(rule):
+        return lambda price, base, row: rule(price, base, row)
+
+    quick, plain = ({tuple(r) for r in C.count_many(rows, ["product_id"], ORDER, {i: wrap(r) for i, r in grid.items()},
+                                                    ["dataset_split"], states=states).collect()} for wrap in (uncalled, unmeasured))
+    assert quick == plain and len(quick) == 2 * len(grid)
+
+
+def test_a_kind_that_fails_is_reported_alone(spark, rows):
+    def broken(price, base, cuts, lo, hi):
+        raise ValueError("no reach")
+
+    bad = {f"bad{c}": R.measured(lambda price, base, row: R.NONE, ("bad",), c, broken) for c in (1.0, 2.0)}
+    got = {r.candidate_id: r for r in C.count_many(rows, ["product_id"], ORDER, {**RULES, **bad}, []).collect()}
+    assert {(got[k].status, got[k].message, got[k].tp) for k in bad} == {("error", "ValueError: no reach", None)}
+    assert all(got[k].status == "ok" and got[k].tp + got[k].fp + got[k].fn + got[k].tn == rows.count() for k in RULES)
+
+
 def test_refitted_sweep_covers_families(spark, rows, monkeypatch):
     real = W.rule_of
     monkeypatch.setattr(W, "rule_of", lambda f, p: failing() if f == "iqr" and p["multiplier"] == 2.0 else real(f, p))

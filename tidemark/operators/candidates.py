@@ -3,12 +3,15 @@
 Rows are shuffled and sorted once. Candidates start from the same baseline and
 share it for as long as they decide alike; a baseline is copied only where its
 candidates part. Statistics of a shared baseline are computed once, so a grid of
-candidates costs little more than the few baselines they part into.
+candidates costs little more than the few baselines they part into. Counts of rules
+that differ by a cut alone (``rules.measured``) take one look per baseline and kind.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.operators.fold import RESULT, Rule, _none, _sorted_input, state_from
+from tidemark.operators.fold import RESULT, Rule, _none, _sorted_input, listed, state_from
 from tidemark.operators.rules import Baseline
 
 COUNTS = ["tp", "fp", "fn", "tn"]
@@ -67,13 +70,64 @@ class Cohort:
         return found
 
 
-def _cohorts(batch: pa.RecordBatch, column: dict[str, list], rules: dict[str, Rule], current: list) -> Iterator[tuple[int, Cohort]]:
-    """Rows of a batch with the cohort of their series; ``current`` carries [series, cohort] between batches."""
+class Spans:
+    """Measured candidates of one series. Of one kind a row flags those with the lowest cuts, so a group that
+    shares a baseline is a span of ascending cuts per kind, and it parts by cutting spans in two.
+
+    ``kinds``: reach, cuts and names of each.
+    """
+
+    def __init__(self, kinds: list[tuple], state=None):
+        self.kinds = kinds
+        self.groups = [(state_from(state), [(k, 0, len(cuts)) for k, (_, cuts, _) in enumerate(kinds)])]
+        self.failed: dict[str, str] = {}
+
+    def count(self, price: float | None, now: int, flagged: list[list[int]], clear: list[list[int]]) -> None:
+        """Count one observation: a span adds one at its beginning and takes it off behind its end."""
+        value, after = 0.0 if price is None else price, []
+        for base, spans in self.groups:
+            held, joining = [], []
+            for k, lo, hi in spans:
+                reach, cuts, names = self.kinds[k]
+                try:
+                    middle = reach(value, base, cuts, lo, hi)
+                except Exception as error:  # noqa: BLE001 - failing candidates are reported, the others go on
+                    self.failed.update(dict.fromkeys(names[lo:hi], f"{type(error).__name__}: {error}"))
+                    continue
+                if middle > lo:
+                    flagged[k][lo] += 1
+                    flagged[k][middle] -= 1
+                    held.append((k, lo, middle))
+                if middle < hi:
+                    clear[k][middle] += 1
+                    clear[k][hi] -= 1
+                    joining.append((k, middle, hi))
+            if held:
+                after.append((base.copy() if joining else base, held))
+            if joining:
+                base.accept(value, now)
+                after.append((base, joining))
+        self.groups = after
+
+
+def _kinds(rules: dict[str, Rule]) -> list[tuple] | None:
+    """The rules by kind with their cuts in order; None unless all are measured."""
+    if not all(hasattr(r, "kind") for r in rules.values()):
+        return None
+    found: dict[tuple, list] = {}
+    for name, rule in rules.items():
+        found.setdefault(rule.kind, []).append((rule.cut, name, rule.reach))
+    ordered = [sorted(members, key=lambda m: m[:2]) for members in found.values()]
+    return [(members[0][2], [m[0] for m in members], [m[1] for m in members]) for members in ordered]
+
+
+def _cohorts(batch: pa.RecordBatch, column: dict[str, list], fresh, current: list) -> Iterator[tuple[int, Cohort | Spans]]:
+    """Rows of a batch with the candidates of their series, as ``fresh(state)`` gives them; ``current`` carries [series, candidates] between batches."""
     for i, series in enumerate(column["_series"]):
         if series != current[0]:
-            current[:] = [series, Cohort(rules)]
+            current[:] = [series, fresh(None)]
         if column["_state"][i] is not None:
-            current[1] = Cohort(rules, column["_state"][i])
+            current[1] = fresh(column["_state"][i])
             continue
         yield i, current[1]
 
@@ -102,9 +156,9 @@ def fold_many(
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = [None, None]
         for batch in batches:
-            column = {c: batch.column(c).to_pylist() for c in ("_series", "_state", "price", "_us", *extra)}
+            column = {c: listed(batch.column(c)) for c in ("_series", "_state", "price", "_us", *extra)}
             picked, names, results = [], [], []
-            for i, cohort in _cohorts(batch, column, rules, current):
+            for i, cohort in _cohorts(batch, column, partial(Cohort, rules), current):
                 row = {c: column[c][i] for c in extra}
                 for rule, result in cohort.step(_none(column["price"][i]), column["_us"][i], row, acceptance, tolerance, hours).items():
                     picked.append(i)
@@ -133,13 +187,33 @@ def count_many(
     counted = T.StructType([*fields, T.StructField("candidate_id", T.StringType()), *[T.StructField(c, T.LongType()) for c in COUNTS],
                             T.StructField("message", T.StringType())])
     types = [to_arrow_type(f.dataType) for f in counted.fields]
+    kinds = _kinds(rules)
+
+    def measured(batch: pa.RecordBatch, column: dict[str, list], current: list, counts: dict, messages: dict) -> None:
+        tallies: dict[tuple, tuple] = {}
+        for i, spans in _cohorts(batch, column, partial(Spans, kinds), current):
+            group, real = tuple(column[c][i] for c in by), bool(column[truth][i])
+            if (group, real) not in tallies:
+                tallies[group, real] = tuple([[0] * (len(cuts) + 1) for _, cuts, _ in kinds] for _ in range(2))
+            spans.count(_none(column["price"][i]), column["_us"][i], *tallies[group, real])
+            for name, message in spans.failed.items():
+                messages[(*group, name)] = message
+        for (group, real), tally in tallies.items():
+            for kind, (_, _, names) in enumerate(kinds):
+                for name, hit, passed in zip(names, accumulate(tally[0][kind]), accumulate(tally[1][kind])):
+                    if hit or passed:
+                        cell = counts.setdefault((*group, name), [0, 0, 0, 0])
+                        cell[0 if real else 1] += hit
+                        cell[2 if real else 3] += passed
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = [None, None]
         for batch in batches:
-            column = {c: batch.column(c).to_pylist() for c in dict.fromkeys(["_series", "_state", "price", "_us", truth, *by, *extra])}
+            column = {c: listed(batch.column(c)) for c in dict.fromkeys(["_series", "_state", "price", "_us", truth, *by, *extra])}
             counts, messages = {}, {}
-            for i, cohort in _cohorts(batch, column, rules, current):
+            if kinds is not None:
+                measured(batch, column, current, counts, messages)
+            for i, cohort in _cohorts(batch, column, partial(Cohort, rules), current) if kinds is None else ():
                 group, real = tuple(column[c][i] for c in by), bool(column[truth][i])
                 row = {c: column[c][i] for c in extra}
                 for name, result in cohort.step(_none(column["price"][i]), column["_us"][i], row, False, 0.0, 0.0).items():

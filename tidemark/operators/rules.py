@@ -7,8 +7,11 @@ and a column expression cannot be used.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable
 
+import numpy as np
+
 DEPTH = 30
 MIN_OBSERVATIONS = 3
 MAD_NORMAL = 1.4826
@@ -37,6 +40,12 @@ class Baseline:
         self.held_since = held_since
         self._memo = {}
 
+    def copy(self) -> Baseline:
+        """The same prices and flags, with what was computed of them."""
+        out = Baseline(*self.snapshot())
+        out._memo = dict(self._memo)
+        return out
+
     def snapshot(self) -> tuple:
         return (list(self.prices), self.last_price, self.last_change, self.unchanged,
                 self.held_price, self.held_since)
@@ -74,7 +83,13 @@ class Baseline:
     def sn(self) -> float:
         def compute(p):
             n = len(p)
-            spread = median_of(sorted([median_of(sorted([abs(x - y) for y in p])) for x in p]))
+            if n < 8:
+                medians = [median_of(sorted([abs(x - y) for y in p])) for x in p]
+            else:
+                gaps = np.abs(np.subtract.outer(p, p))
+                gaps.sort(axis=1)
+                medians = ((gaps[:, (n - 1) // 2] + gaps[:, n // 2]) / 2).tolist()
+            spread = median_of(sorted(medians))
             return spread * (n / (n - 0.9) if n % 2 else 1.0)
         return self._once("sn", compute)
 
@@ -142,6 +157,70 @@ def _capped(value: float, threshold: float) -> float:
     return min(value / (threshold * 2.0), 1.0)
 
 
+def measured(rule, kind: tuple, cut: float, reach: Callable):
+    """Tell that rules of one ``kind`` flag a row up to some cut.
+
+    ``reach(price, base, cuts, lo, hi)`` is the place in ``cuts`` (ascending) before which, from ``lo`` on, rules with
+    these cuts flag the price and from which, up to ``hi``, they do not.
+    """
+    rule.kind, rule.cut, rule.reach = kind, cut, reach
+    return rule
+
+
+def _below(value: Callable):
+    """Reach of rules that flag a value above their cut; None flags nowhere."""
+    def reach(price, base, cuts, lo, hi):
+        found = value(price, base)
+        return lo if found is None else bisect_left(cuts, found, lo, hi)
+    return reach
+
+
+def _abs_zscore(price, base):
+    z = base.zscore(price) if len(base.prices) >= MIN_OBSERVATIONS else None
+    return None if z is None else abs(z)
+
+
+def _abs_change(price, base):
+    change = base.change(price)
+    return None if change is None else abs(change)
+
+
+def _modified(mode: str, weight: float):
+    """The deviation from the median in units of the mode's scale; None without a scale."""
+    def value(price, base):
+        if len(base.prices) < MIN_OBSERVATIONS:
+            return None
+        gap = abs(price - base.centre())
+        mad = MAD_NORMAL * base.mad() if mode != "sn" else None
+        sn = base.sn() if mode != "mad" else None
+        if (mad is not None and mad <= 0) or (sn is not None and sn <= 0):
+            return None
+        if mode == "mad":
+            return gap / mad
+        if mode == "sn":
+            return gap / sn
+        if mode == "weighted":
+            return weight * (gap / mad) + (1.0 - weight) * (gap / sn)
+        if mode == "max":
+            return max(gap / mad, gap / sn)
+        return 0.5 * (gap / mad + gap / sn)
+    return value
+
+
+def _iqr_distance(price, q1, q3, multiplier):
+    spread = q3 - q1
+    return max(q1 - multiplier * spread - price, price - (q3 + multiplier * spread))
+
+
+def _iqr_reach(price, base, cuts, lo, hi):
+    n = len(base.prices)
+    if n >= 4:
+        q1, q3 = base.ordered()[n // 4], base.ordered()[3 * n // 4]
+        while lo < hi and not _iqr_distance(price, q1, q3, cuts[lo]) <= 0:
+            lo += 1
+    return lo
+
+
 def zscore_rule(threshold: float = 3.0):
     def rule(price, base, row):
         if len(base.prices) < MIN_OBSERVATIONS:
@@ -153,32 +232,22 @@ def zscore_rule(threshold: float = 3.0):
         if z > threshold:
             return True, _capped(z, threshold), _bands(z, threshold, 1.5, 2), "price_zscore", False
         return False, _capped(z, threshold), None, "", False
-    return rule
+    return measured(rule, ("zscore",), threshold, _below(_abs_zscore))
 
 
 def modified_rule(mode: str = "mad", threshold: float = 2.0, weight: float = 0.5):
+    value = _modified(mode, weight)
+
     def rule(price, base, row):
         if len(base.prices) < MIN_OBSERVATIONS:
             return SHORT
-        gap = abs(price - base.centre())
-        mad = MAD_NORMAL * base.mad() if mode != "sn" else None
-        sn = base.sn() if mode != "mad" else None
-        if (mad is not None and mad <= 0) or (sn is not None and sn <= 0):
+        z = value(price, base)
+        if z is None:
             return NONE
-        if mode == "mad":
-            z = gap / mad
-        elif mode == "sn":
-            z = gap / sn
-        elif mode == "weighted":
-            z = weight * (gap / mad) + (1.0 - weight) * (gap / sn)
-        elif mode == "max":
-            z = max(gap / mad, gap / sn)
-        else:
-            z = 0.5 * (gap / mad + gap / sn)
         if z > threshold:
             return True, _capped(z, threshold), _bands(z, threshold, 1.5, 2), "price_zscore", False
         return False, _capped(z, threshold), None, "", False
-    return rule
+    return measured(rule, ("modified", mode, weight), threshold, _below(value))
 
 
 def iqr_rule(multiplier: float = 1.5):
@@ -188,13 +257,13 @@ def iqr_rule(multiplier: float = 1.5):
             return SHORT
         q1, q3 = base.ordered()[n // 4], base.ordered()[3 * n // 4]
         spread = q3 - q1
-        distance = max(q1 - multiplier * spread - price, price - (q3 + multiplier * spread))
+        distance = _iqr_distance(price, q1, q3, multiplier)
         if distance <= 0:
             return NONE
         if spread <= 0:
             return True, 0.5, None, "price_iqr", False
         return True, _capped(distance, spread), _bands(distance / spread, 1.0, 2, 3), "price_iqr", False
-    return rule
+    return measured(rule, ("iqr",), multiplier, _iqr_reach)
 
 
 def change_rule(threshold: float = 0.20):
@@ -206,7 +275,7 @@ def change_rule(threshold: float = 0.20):
         if change > threshold:
             return True, _capped(change, threshold), _bands(change, threshold, 2, 3), "price_change", False
         return False, _capped(change, threshold), None, "", False
-    return rule
+    return measured(rule, ("change",), threshold, _below(_abs_change))
 
 
 def row_rule(prefix: str):
