@@ -87,3 +87,22 @@ def test_rows_of_a_round_share_one_call(spark):
     df = spark.createDataFrame(rows, "obs_id STRING, product_id LONG, price DOUBLE, list_price DOUBLE, scope STRING, seen_at TIMESTAMP")
     got = G.gated_fold(df.coalesce(1), KEYS, ORDER, R.model_rule(9.0), keep=["obs_id", "product_id"], model=Counting()).collect()
     assert len(got) == 13 and {r.score for r in got} <= {1.0, 2.0}
+
+
+def test_plain_trees_are_walked_together(monkeypatch):
+    """The same paths to the last bit, without a walk per tree."""
+    rng = np.random.default_rng(8)
+    X = rng.normal(size=(1_300, 12)).round(1)
+    X[5, 3] = np.nan
+    trees = []
+    for n in (1, 2, 64, 256, 256):
+        nodes = T.grow_tree(X[10 : 10 + n], rng, 0.75, False)
+        trees.append({k: np.asarray(nodes[k]) for k in ("feature", "cut", "left", "right", "path")} | {"normals": None, "psi": n})
+    want = sum(T.tree_paths(X, t) for t in trees) / len(trees)
+
+    def walked(X, tree):
+        raise AssertionError("one tree alone")
+
+    monkeypatch.setattr(T, "tree_paths", walked)
+    for size in (1, 7, 1_300):
+        assert T.Grove(trees).paths(X[:size]).tolist() == want[:size].tolist()
